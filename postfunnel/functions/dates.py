@@ -38,6 +38,7 @@ def iso_time(value: Column) -> Column:
     text = F.btrim(value.cast("string"))
     plain = F.replace(F.upper(text), F.lit(","), F.lit("."))
     zoned = F.regexp_replace(plain, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    zoned = F.regexp_replace(zoned, r"^(.{11}\d{2}:\d{2})(?!:)", "$1:00")
     # A bare date ends in -dd, which the zone rewrite must leave alone.
     readable = F.when(F.length(text) <= 10, plain).otherwise(zoned)
     return F.when(text.rlike(_ISO), F.try_to_timestamp(readable))
