@@ -198,8 +198,15 @@ def job_detail(jobs: DataFrame, asks: DataFrame, letters: DataFrame) -> DataFram
     return jobs.join(listed, "uid", "left").join(letters.select("uid", "body", "drafted_at"), "uid", "left")
 
 
+def ordered_asks(asks: DataFrame) -> DataFrame:
+    """Each job's asks with their place: conditions first, then by kind.  A job
+    has at most as many as the vocabulary."""
+    inside = W.partitionBy("uid").orderBy(F.desc("mandatory"), "kind")
+    return asks.withColumn("place", F.row_number().over(inside))
+
+
 def asks_of(asks: DataFrame, uid: str) -> DataFrame:
-    return asks.filter(F.col("uid") == uid).orderBy(F.desc("mandatory"), "kind")
+    return ordered_asks(asks.filter(F.col("uid") == uid)).orderBy("place")
 
 
 # -- the day's digest ---------------------------------------------------------

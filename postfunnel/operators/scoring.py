@@ -153,7 +153,8 @@ def _kinds(asks: Column, keep) -> Column:
 
 def penalised(raw: Column, n_blockers: Column, penalty: int) -> Column:
     """A penalty per blocker, never below zero; no score stays no score."""
-    return F.when(n_blockers > 0, F.greatest(F.lit(0), raw - n_blockers * penalty)).otherwise(raw)
+    docked = F.greatest(F.lit(0), raw - n_blockers * penalty)  # skips nulls, hence the test
+    return F.when(raw.isNotNull() & (n_blockers > 0), docked).otherwise(raw).cast("int")
 
 
 def price(rows: DataFrame, profile: Profile) -> DataFrame:
@@ -168,7 +169,7 @@ def price(rows: DataFrame, profile: Profile) -> DataFrame:
         .withColumn("score_raw", F.col("score"))
     )
     new = penalised(F.col("score_raw"), F.size("blockers"), profile.blocker_penalty)
-    return priced.withColumn("score", F.when(F.col("score_raw").isNotNull(), new).cast("int"))
+    return priced.withColumn("score", new)
 
 
 def blockers_per_job(asks: DataFrame, profile: Profile) -> DataFrame:
@@ -188,7 +189,7 @@ def reprice(jobs: DataFrame, asks: DataFrame, profile: Profile) -> DataFrame:
         .withColumn("old_score", F.col("score"))
         .withColumn("score_raw", F.coalesce("score_raw", "score"))
     )
-    new = penalised(F.col("score_raw"), F.size("blockers"), profile.blocker_penalty).cast("int")
+    new = penalised(F.col("score_raw"), F.size("blockers"), profile.blocker_penalty)
     return out.withColumn("score", new).withColumn(
         "changed", ~F.col("score").eqNullSafe(F.col("old_score"))
     )
@@ -213,3 +214,13 @@ def run_summary(scored: DataFrame, policy: DataFrame) -> DataFrame:
         F.count_if(F.coalesce("score", F.lit(0)) >= F.col("display_threshold")).alias("above"),
         F.count(F.lit(1)).alias("scored"),
     )
+
+
+def pairing(batched: DataFrame, results: DataFrame) -> DataFrame:
+    """Per batch: postings sent, results that came back, and those left out."""
+    keys = results.select("batch", "i", F.lit(True).alias("_found"))
+    joined = batched.select("batch", "i").join(keys, ["batch", "i"], "left")
+    return joined.groupBy("batch").agg(
+        F.count(F.lit(1)).alias("sent"), F.count("_found").alias("scored"),
+        F.count_if(F.col("_found").isNull()).alias("unscored"),
+    )
