@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, functions as F
 
 from postfunnel import vocab
-from postfunnel.functions.text import fold, squeeze, strip
+from postfunnel.functions.text import fold, let, squeeze, strip
 
 
 def eligibility_sentences(text: Column, limit: int = 4) -> Column:
@@ -39,16 +39,19 @@ def _alternatives(words: list[str]) -> str:
 
 
 def _letter_pattern() -> str:
+    """One pattern for a phrase that no negation stands next to.  A cheap look
+    at the phrase comes first, so that the costly look behind is rare."""
     before = _alternatives(vocab.LETTER_NEG_BEFORE)
     after = _alternatives(vocab.LETTER_NEG_AFTER)
     gap = rf"[^.;:!?]{{0,{vocab.LETTER_REACH}}}"
-    asked = (
-        rf"(?:{vocab.LETTER_KINDS})\s++letters?+"
-        rf"|(?<!(?:{vocab.LETTER_KINDS})\s{{1,8}})letters?+\s++of\s++(?:{vocab.LETTER_PURPOSES})"
-    )
+    kinds, purposes = vocab.LETTER_KINDS, vocab.LETTER_PURPOSES
+    by_kind = rf"(?:{kinds})\s++letters?+"
+    by_purpose = rf"letters?+\s++of\s++(?:{purposes})"
+    # A letter named by its kind is one phrase, so it cannot start at "letter".
     return (
-        rf"(?iU)(?<!\b(?:{before})\b{gap}\n?)"
-        rf"(?:{asked})"
+        rf"(?iU)(?={by_kind}|{by_purpose})"
+        rf"(?<!\b(?:{before})\b{gap}\n?)"
+        rf"(?:{by_kind}|(?<!(?:{kinds})\s{{1,8}}){by_purpose})"
         rf"(?!{gap}\b(?:{after})\b)"
     )
 
@@ -56,6 +59,6 @@ def _letter_pattern() -> str:
 def asks_for_letter(text: Column) -> Column:
     """Does the advert ask for a letter?  A negation in the same clause, on
     either side of the phrase, cancels it; one phrase left standing is enough."""
-    body = strip(F.coalesce(text, F.lit("")))
     asked = rf"(?iU)(?:{vocab.LETTER_KINDS})\s+letters?|letters?\s+of\s+(?:{vocab.LETTER_PURPOSES})"
-    return F.when(body.rlike(asked), body.rlike(_letter_pattern())).otherwise(F.lit(False))
+    body = strip(F.coalesce(text, F.lit("")))
+    return let(body, lambda b: b.rlike(asked) & b.rlike(_letter_pattern()))

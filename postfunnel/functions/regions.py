@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from postfunnel import vocab
-from postfunnel.functions.text import fold, strip
+from postfunnel.functions.text import fold, let, strip
 
 
 def fold_text(text: str) -> str:
@@ -25,42 +25,48 @@ def any_of(tests: list[Column]) -> Column:
 def region_allowed(restriction: Column, allow: list[str], deny: list[str]) -> Column:
     """Does one stated restriction admit the person?  Names match as substrings
     in either direction, because boards share no vocabulary."""
-    name = fold(strip(restriction))
-    denied = any_of([F.contains(name, F.lit(fold_text(d))) for d in deny])
-    admitted = any_of(
-        [F.contains(name, F.lit(fold_text(a))) | F.contains(F.lit(fold_text(a)), name) for a in allow]
-    )
-    return (name == "") | (~denied & admitted)
+    def decide(name: Column) -> Column:
+        denied = any_of([F.contains(name, F.lit(fold_text(d))) for d in deny])
+        admitted = any_of(
+            [F.contains(name, F.lit(fold_text(a))) | F.contains(F.lit(fold_text(a)), name) for a in allow]
+        )
+        return (name == "") | (~denied & admitted)
+
+    return let(fold(strip(restriction)), decide)
 
 
 def all_local(restrictions: Column, anchors: list[str]) -> Column:
     return (F.size(restrictions) > 0) & F.forall(
-        restrictions, lambda r: any_of([F.contains(fold(r), F.lit(fold_text(a))) for a in anchors])
+        restrictions,
+        lambda r: let(fold(r), lambda name: any_of([F.contains(name, F.lit(fold_text(a))) for a in anchors])),
     )
 
 
 def first_name_in(company: Column, names: list[str]) -> Column:
     """First configured name that occurs in the company; null when none does."""
-    text = fold(F.coalesce(company, F.lit("")))
-    found = F.lit(None).cast("string")
-    for name in reversed(names):
-        hit = (text != "") & F.contains(text, F.lit(fold_text(name)))
-        found = F.when(hit, F.lit(name)).otherwise(found)
-    return found
+    def first(text: Column) -> Column:
+        hits = [F.when((text != "") & F.contains(text, F.lit(fold_text(n))), F.lit(n)) for n in names]
+        return F.coalesce(*hits)
+
+    return let(fold(company), first) if names else F.lit(None).cast("string")
 
 
 def first_pattern(text: Column, patterns: list[str]) -> Column:
     """First pattern of an ordered list that the text matches, else null."""
-    hits = [F.when(text.rlike("(?iU)" + p), F.lit(p)) for p in patterns]
-    return F.coalesce(*hits) if hits else F.lit(None).cast("string")
+    def first(t: Column) -> Column:
+        return F.coalesce(*[F.when(t.rlike("(?iU)" + p), F.lit(p)) for p in patterns])
+
+    return let(text, first) if patterns else F.lit(None).cast("string")
 
 
 def first_match(text: Column, patterns: list[str]) -> Column:
     """Text matched by the first pattern that matches at all, else null."""
-    hits = [
-        F.when(text.rlike("(?iU)" + p), F.regexp_extract(text, "(?iU)" + p, 0)) for p in patterns
-    ]
-    return F.coalesce(*hits) if hits else F.lit(None).cast("string")
+    def first(t: Column) -> Column:
+        return F.coalesce(*[
+            F.when(t.rlike("(?iU)" + p), F.regexp_extract(t, "(?iU)" + p, 0)) for p in patterns
+        ])
+
+    return let(text, first) if patterns else F.lit(None).cast("string")
 
 
 def country_regions(country: Column) -> Column:

@@ -17,6 +17,15 @@ SPACES = "".join(
 )
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once.
+
+    A column used several times in one expression is evaluated several times;
+    a lambda's variable is not.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(column: Column) -> Column:
     return F.btrim(column, F.lit(SPACES))
 
@@ -40,22 +49,24 @@ def code_point(number: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
 
 
-def _decimal_entities(column: Column) -> Column:
+def _decimal_entities(text: Column) -> Column:
     """Replace each decimal entity; one that names no character stays as written."""
-    codes = F.regexp_extract_all(column, F.lit("&#([0-9]+);"), F.lit(1))
-    pieces = F.split(column, "&#[0-9]+;", -1)
-
     def char(code: Column) -> Column:
         number = code.try_cast("bigint")
         usable = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
         return F.when(usable, code_point(number)).otherwise(F.concat(F.lit("&#"), code, F.lit(";")))
 
-    tail = F.zip_with(
-        codes, F.slice(pieces, 2, F.size(pieces)),
-        lambda code, piece: F.concat(char(code), piece),
-    )
-    rebuilt = F.concat(F.element_at(pieces, 1), F.array_join(tail, ""))
-    return F.when(column.rlike("&#[0-9]+;"), rebuilt).otherwise(column)
+    # Every piece but the first starts with the digits of an entity.
+    def piece(part: Column, place: Column) -> Column:
+        code = F.regexp_extract(part, "^([0-9]+);", 1)
+        rest = F.regexp_replace(part, "^[0-9]+;", "")
+        return F.when(place == 0, part).otherwise(F.concat(char(code), rest))
+
+    def rebuilt(column: Column) -> Column:
+        pieces = F.transform(F.split(column, "&#(?=[0-9]+;)"), piece)
+        return F.when(F.contains(column, F.lit("&#")), F.array_join(pieces, "")).otherwise(column)
+
+    return let(text, rebuilt)
 
 
 def strip_html(raw: Column) -> Column:

@@ -11,7 +11,7 @@ from postfunnel.plans import sample, views
 from postfunnel.plans.catalog import query
 from postfunnel.plans.catalog.duck import NOW, html_text, sql, strip
 from postfunnel.plans.catalog.text import PAID, PAY_STEPS, STRUCTURED
-from postfunnel.schema import FEED_ITEM, empty_list
+from postfunnel.schema import FEED_PAGE
 from postfunnel.sources import boards, capture, cards, feed, pages
 from postfunnel import vocab
 
@@ -28,8 +28,8 @@ def feed_items(spark, d):
         zones.alias("timezoneRestrictions"), F.col("salary_max").alias("minSalary"), F.col("salary_max").alias("maxSalary"),
         F.col("salary_period").alias("salaryPeriod"), "currency", F.array("category").alias("categories"),
     )
-    return f.select("arrival", F.to_json(item).alias("_json")).select(
-        "arrival", F.from_json("_json", FEED_ITEM).alias("item"))
+    page = F.concat(F.lit('{"jobs":['), F.to_json(item), F.lit("]}"))
+    return feed.items_of(f.select("arrival", F.from_json(page, FEED_PAGE).alias("_page")).select("arrival", "_page.*"), "arrival")
 
 
 @query("s01_feed_postings", sql("""

@@ -206,7 +206,8 @@ VIEWS: dict[str, str] = {
           || CASE WHEN t.arrival % 15 = 1 THEN '' ELSE '<p data-temp="' || substring(CAST(p.posted AS STRING), 1, 10)
              || ' 20:30:00" data-temp-2="' || substring(CAST(p.posted AS STRING), 1, 10) || ' 12:30:00"></p>' END
           || '<dl class="row fs-14"><dd class="col">' || coalesce(t.pay, '') || '</dd></dl>'
-          || '<div class="desc fs-14"><div>Join ' || p.source || ' now<br /></div>and grow&#8230; <a href="/jobseekers/job/x-1">See More</a></div>'
+          || '<div class="desc fs-14">' || CASE WHEN t.arrival % 3 = 0 THEN '<div>Join ' ELSE '<p>Join ' END || p.source || ' now<br />'
+          || CASE WHEN t.arrival % 3 = 0 THEN '</div>' ELSE '</p>' END || 'and grow&#8230; <a href="/jobseekers/job/x-1">See More</a></div>'
           || '</div></a></body></html>' AS html
         FROM pay_text t JOIN postings p ON p.arrival = t.arrival
     """,

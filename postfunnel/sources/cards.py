@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from postfunnel import vocab
 from postfunnel.functions import money
 from postfunnel.functions.text import (
-    absolute_url, blank_to_null, drop_teaser_tail, excerpt, row_id, squeeze, strip_html,
+    absolute_url, blank_to_null, drop_teaser_tail, excerpt, let, row_id, squeeze, strip_html,
     trailing_id, with_stated_pay,
 )
 
@@ -26,27 +26,46 @@ def _class(name: str) -> str:
 def inner_html(html: Column, mark: str) -> Column:
     """What stands inside the first tag with a mark, up to its own close tag.
 
-    The rest of the page is cut at every ``<``; nested tags of the same name
-    are counted until the one that closes the node.  Null when there is none.
+    Null when there is no such tag.  A node without a tag of its own name
+    inside ends at the first close tag; only otherwise are the tags counted.
     """
-    opening = rf"(?is)<([a-z][a-z0-9]*)\b[^>]*{mark}[^>]*>"
-    name = F.lower(F.regexp_extract(html, opening, 1))
-    rest = F.regexp_extract(html, opening + "(.*)", 2)
-    pieces = F.split(rest, "(?=<)")
+    opening = rf"(?is)^.*?<([a-z][a-z0-9]*)\b[^>]*{mark}[^>]*>"
+    cut = F.regexp_replace(html, opening, "$1\u0001")
+    node = let(cut, lambda c: F.when(F.contains(c, F.lit("\u0001")), F.struct(
+        F.lower(F.substring_index(c, "\u0001", 1)).alias("name"),
+        F.substr(c, F.instr(c, "\u0001") + 1).alias("rest"),
+    )))
+
+    def inside(n: Column) -> Column:
+        def by_first_close(low: Column) -> Column:
+            size = F.position(F.concat(F.lit("</"), n["name"]), low) - 1
+            nested = F.contains(F.substr(low, F.lit(1), size), F.concat(F.lit("<"), n["name"]))
+            simple = (size >= 0) & (F.length(low) == F.length(n["rest"])) & ~nested
+            return F.when(simple, F.substr(n["rest"], F.lit(1), size)).otherwise(
+                _balanced(n["name"], n["rest"]))
+
+        return let(F.lower(n["rest"]), by_first_close)
+
+    return let(node, lambda n: F.when(n.isNotNull(), inside(n)))
+
+
+def _balanced(name: Column, rest: Column) -> Column:
+    """The text up to the close tag that brings the count of open tags to zero."""
+    opens, closes = F.concat(F.lit("<"), name), F.concat(F.lit("</"), name)
 
     def step(piece: Column) -> Column:
-        head = F.lower(F.substring(piece, 1, 32))
-        opens = F.rlike(head, F.concat(F.lit("^<"), name, F.lit(r"[\s>/]")))
-        closes = F.rlike(head, F.concat(F.lit("^</"), name, F.lit(r"[\s>]")))
-        return F.when(opens, 1).when(closes, -1).otherwise(0)
-
-    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("used"))
-    end = F.aggregate(pieces, start, lambda at, piece: F.when(at["depth"] == 0, at).otherwise(
-        F.struct((at["depth"] + step(piece)).alias("depth"), (at["used"] + 1).alias("used"))
-    ))
-    closed = end["depth"] == 0
-    used = F.when(closed, end["used"] - 1).otherwise(F.size(pieces))
-    return F.when(name != "", F.array_join(F.slice(pieces, 1, used), ""))
+        tag = F.lower(F.regexp_extract(piece, "^</?[a-zA-Z][a-zA-Z0-9]*", 0))
+        return let(tag, lambda t: F.when(t == opens, 1).when(t == closes, -1).otherwise(0))
+
+    def walk(pieces: Column) -> Column:
+        # Depth after each piece, kept at zero once the node is closed.
+        start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("used"))
+        walked = F.aggregate(pieces, start, lambda at, piece: F.when(at["depth"] == 0, at).otherwise(
+            F.struct((at["depth"] + step(piece)).alias("depth"), (at["used"] + 1).alias("used"))))
+        used = let(walked, lambda w: F.when(w["depth"] == 0, w["used"] - 1).otherwise(w["used"]))
+        return F.array_join(F.slice(pieces, F.lit(1), used), "")
+
+    return let(F.split(rest, "(?=<)"), walk)
 
 
 def cards_of(pages: DataFrame, *keep: str, html: str = "html") -> DataFrame:
