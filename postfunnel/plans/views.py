@@ -5,7 +5,9 @@ input of a query is the same for the engine and for its check.  Only the views
 are shared; what a query then does with them is written twice, as operators
 here and as SQL in ``oracle``.
 
-``ARR(...)`` is the one dialect difference: an array of the listed values.
+Three words stand for what the dialects write differently: ``ARR(...)`` is an
+array, ``DAYS(t)`` the whole days from a time to the clock, ``COPIES(n)`` one
+row for each number from 0 to n.
 """
 
 from __future__ import annotations
@@ -168,12 +170,12 @@ VIEWS: dict[str, str] = {
     """,
     # Three captures of every advert; every ninth copy is broken.
     "captures": """
-        SELECT p.arrival, k.copy_no, p.source_id AS jobkey, p.source AS site, p.title, p.company,
-          CASE k.copy_no WHEN 0 THEN '2001-08-01T06:00:00.000Z' WHEN 1 THEN '2001-07-25T06:00:00Z'
+        SELECT p.arrival, p.copy_no, p.source_id AS jobkey, p.source AS site, p.title, p.company,
+          CASE p.copy_no WHEN 0 THEN '2001-08-01T06:00:00.000Z' WHEN 1 THEN '2001-07-25T06:00:00Z'
             ELSE '2001-07-18T23:59:59.999Z' END AS captured_at,
-          (p.arrival + k.copy_no) % 9 = 0 AS expired,
-          CASE WHEN (p.arrival + k.copy_no) % 14 = 3 THEN NULL
-            WHEN (p.arrival + k.copy_no) % 14 = 4 THEN 'last week'
+          (p.arrival + p.copy_no) % 9 = 0 AS expired,
+          CASE WHEN (p.arrival + p.copy_no) % 14 = 3 THEN NULL
+            WHEN (p.arrival + p.copy_no) % 14 = 4 THEN 'last week'
             ELSE substring(CAST(p.posted AS STRING), 1, 10) || 'T08:00:00Z' END AS date_posted,
           CASE WHEN p.arrival % 14 = 4 THEN NULL ELSE CAST((900000000 + p.arrival * 600) * 1000 AS STRING) END AS pub_date,
           CASE p.arrival % 4 WHEN 0 THEN 'PH' WHEN 1 THEN ' us ' WHEN 2 THEN 'DE' ELSE NULL END AS country,
@@ -184,8 +186,7 @@ VIEWS: dict[str, str] = {
             WHEN 3 THEN 'WEEKLY' ELSE 'hourly' END AS salary_period,
           CAST(p.salary_max AS DOUBLE) AS salary_max,
           CASE WHEN p.arrival % 8 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(p.salary_max AS DOUBLE) / 2 END AS salary_min
-        FROM postings p
-        JOIN (SELECT 0 AS copy_no UNION ALL SELECT 1 UNION ALL SELECT 2) k ON p.arrival % 3 >= k.copy_no
+        FROM (SELECT arrival, source_id, source, title, company, posted, salary_max, COPIES(arrival % 3) AS copy_no FROM postings) p
     """,
     # Pages of a newest-first listing: twenty days to a page.
     "page_walk": """
@@ -276,15 +277,17 @@ def view(spark: SparkSession, sf_dir: str, name: str, _seen: dict | None = None)
 
 
 def _spark_text(name: str) -> str:
-    text = VIEWS[name].replace("ARR(", "array(").replace(
-        "DAYS(posted)", f"datediff(TIMESTAMP '{CLOCK}', posted)")
+    text = VIEWS[name].replace("ARR(", "array(")
+    text = text.replace("DAYS(posted)", f"datediff(TIMESTAMP '{CLOCK}', posted)")
+    text = re.sub(r"COPIES\(([^)]*)\)", r"explode(sequence(0, CAST(\1 AS INT)))", text)
     return re.sub(r"\b(FROM|JOIN)\s+([a-z_]+)",
                   lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in VIEWS or m[2] in TABLES else m[0], text)
 
 
 def duck_text(name: str) -> str:
-    return VIEWS[name].replace("ARR(", "list_value(").replace(
-        "DAYS(posted)", f"date_diff('day', posted, TIMESTAMP '{CLOCK}')")
+    text = VIEWS[name].replace("ARR(", "list_value(")
+    text = text.replace("DAYS(posted)", f"date_diff('day', posted, TIMESTAMP '{CLOCK}')")
+    return re.sub(r"COPIES\(([^)]*)\)", r"CAST(unnest(range(0, \1 + 1)) AS INT)", text)
 
 
 def duck_with(*names: str) -> list[str]:
