@@ -1,51 +1,98 @@
 """The run's own tables: what was scored, asked, rejected, and when it ran.
 
-A table is a folder of versions.  Writing makes a new version next to the one
-that is being read and then appends its number to a small pointer table, so a
-job that dies half way leaves the current version untouched.
+A table is a folder of versions.  Writing makes a new version next to the ones
+that are being read and then appends its number to a small pointer table, so a
+job that dies half way leaves the current rows untouched.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+import json
+
 from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from postfunnel import vocab
 
 
 class VersionedTable:
-    """A Parquet table that is replaced as a whole or appended to."""
+    """A Parquet table whose parts are replaced one version at a time.
 
-    def __init__(self, spark: SparkSession, root: str, partition_by: list[str] | None = None):
-        self.spark, self.root = spark, root.rstrip("/")
-        self.partition_by = partition_by or []
+    ``part`` is an expression that names the part a row belongs to, such as its
+    board and month.  An upsert then rewrites only the parts that hold an old
+    copy of a new row or receive a new one; all others are not even read,
+    except for their keys.  Without it the table is one part.
+    """
 
-    def version(self) -> int:
+    def __init__(self, spark: SparkSession, root: str, part: Column | None = None, key: str = "uid"):
+        self.spark, self.root, self.key = spark, root.rstrip("/"), key
+        self.part = F.lit("all") if part is None else F.regexp_replace(part, "[^A-Za-z0-9._-]", "-")
+
+    def _pointer(self, before: int | None = None) -> DataFrame | None:
         try:
-            rows = self.spark.read.parquet(f"{self.root}/pointer")
+            pointer = self.spark.read.parquet(f"{self.root}/pointer")
         except AnalysisException:
-            return 0
-        return rows.agg(F.max("version").alias("v")).first().v or 0
+            return None
+        return pointer if before is None else pointer.filter(F.col("version") < before)
 
-    def read(self, version: int | None = None) -> DataFrame | None:
-        current = self.version() if version is None else version
-        if not current:
+    def _parts(self, before: int | None = None) -> dict[str, int]:
+        """Current version of every part: as many rows as there are parts."""
+        pointer = self._pointer(before)
+        if pointer is None:
+            return {}
+        last = pointer.groupBy("part").agg(F.max(F.struct("version", "present")).alias("_last"))
+        return {r.part: r._last.version for r in last.collect() if r._last.present}
+
+    def version(self) -> int:
+        pointer = self._pointer()
+        return 0 if pointer is None else pointer.agg(F.max("version").alias("v")).first().v or 0
+
+    def _rows(self, parts: dict[str, int]) -> DataFrame | None:
+        paths = [f"{self.root}/data/version={version}/part={part}" for part, version in sorted(parts.items())]
+        if not paths:
             return None
-        return self.spark.read.option("mergeSchema", True).parquet(f"{self.root}/data/version={current}")
+        reader = self.spark.read.option("basePath", f"{self.root}/data").option("mergeSchema", True)
+        return reader.parquet(*paths).drop("version")
+
+    def read(self, before: int | None = None) -> DataFrame | None:
+        """The table, or None before anything was written."""
+        rows = self._rows(self._parts(before))
+        if rows is not None:
+            return rows.drop("part")
+        pointer = self._pointer(before)
+        last = None if pointer is None else pointer.orderBy(F.desc("version")).first()
+        return last and self.spark.createDataFrame([], T.StructType.fromJson(json.loads(last.columns)))
+
+    def _publish(self, rows: DataFrame, touched: set[str], version: int) -> None:
+        path = f"{self.root}/data/version={version}"
+        rows.withColumn("part", self.part).write.mode("overwrite").partitionBy("part").parquet(path)
+        written = self.spark.read.option("basePath", path).schema("part string").parquet(path)
+        present = {r.part for r in written.select("part").distinct().collect()}
+        columns = rows.schema.json()
+        pointers = [(version, part, part in present, columns) for part in sorted(touched | present) or ["all"]]
+        self.spark.createDataFrame(
+            pointers, "version int, part string, present boolean, columns string"
+        ).coalesce(1).write.mode("append").parquet(f"{self.root}/pointer")
+
+    def replace(self, rows: DataFrame, version: int | None = None) -> None:
+        """Put ``rows`` in the place of all there is."""
+        new = self.version() + 1 if version is None else version
+        self._publish(rows, set(self._parts(new)), new)
 
-    def replace(self, rows: DataFrame, version: int | None = None) -> int:
-        """Publish ``rows`` as a version; writing the same number again (a
-        replayed batch) overwrites it instead of adding another."""
+    def upsert(self, rows: DataFrame, merge, version: int | None = None) -> None:
+        """Merge new rows in.  Writing a version again (a replayed batch) starts
+        from what was there before it, so the result is the same."""
         new = self.version() + 1 if version is None else version
-        rows.write.mode("overwrite").partitionBy(*self.partition_by).parquet(
-            f"{self.root}/data/version={new}")
-        self.spark.range(1).select(F.lit(new).alias("version")).coalesce(1).write.mode("append").parquet(
-            f"{self.root}/pointer")
-        return new
-
-    def upsert(self, rows: DataFrame, merge, version: int | None = None) -> int:
-        old = self.read(None if version is None else version - 1)
-        return self.replace(rows if old is None else merge(old, rows), version)
+        parts = self._parts(new)
+        old = self._rows(parts)
+        if old is None:
+            return self._publish(rows, set(), new)
+        held = old.join(rows.select(self.key), self.key, "left_semi").select("part")
+        given = rows.select(self.part.alias("part"))
+        touched = {r.part for r in held.union(given).distinct().collect()}
+        kept = self._rows({p: v for p, v in parts.items() if p in touched})
+        merged = rows if kept is None else merge(kept.drop("part"), rows)
+        return self._publish(merged, touched, new)
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

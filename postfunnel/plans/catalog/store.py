@@ -62,7 +62,7 @@ def upsert_jobs(spark, d):
 def versioned_table(spark, d):
     """The same through the written table: two versions, the second read back."""
     old, new = _versions(spark, d)
-    table = store.VersionedTable(spark, shared_dir(spark, "jobs"), ["source"])
+    table = store.VersionedTable(spark, shared_dir(spark, "jobs"), F.col("source"))
     table.upsert(old, store.upsert_rows)
     table.upsert(new, store.upsert_rows)
     return table.read().groupBy("source", "run_id").agg(F.count(F.lit(1)).alias("n"))

@@ -130,6 +130,6 @@ def stage_counters(spark, d):
     root = shared_dir(spark, "counters")
     events = table_stream(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     counted = ingest.stage_counters(events, "ts", "event_type", "60 days")
-    table = ingest.upsert_available(counted, VersionedTable(spark, f"{root}/table"), f"{root}/checkpoint",
+    table = ingest.upsert_available(counted, VersionedTable(spark, f"{root}/table", key="stage"), f"{root}/checkpoint",
                                     ingest.replace_counters, "update")
     return table.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "stage", "n")

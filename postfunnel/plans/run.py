@@ -27,7 +27,9 @@ class RunStore:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self.jobs = store.VersionedTable(spark, f"{self.root}/jobs", ["source"])
+        # A run touches the months it has rows of; the rest of the history stays.
+        month = F.concat_ws("_", "source", F.date_format("posted_at", "yyyy-MM"))
+        self.jobs = store.VersionedTable(spark, f"{self.root}/jobs", month)
         self.asks = store.VersionedTable(spark, f"{self.root}/asks")
 
     def _appended(self, name: str) -> DataFrame | None:
@@ -114,9 +116,8 @@ def run(spark: SparkSession, postings: DataFrame, profile: Profile, now: Column,
     priced = spark.read.parquet(path)
 
     jobs, asks = store.stored_jobs(priced, run_id, now), store.stored_asks(priced)
-    kept.asks.upsert(
-        store.replace_asks(asks.drop("position").limit(0), jobs, asks),
-        lambda old, _: store.replace_asks(old, jobs, asks))
+    old_asks = kept.asks.read()
+    kept.asks.replace(store.replace_asks(asks.drop("position").limit(0) if old_asks is None else old_asks, jobs, asks))
     kept.jobs.upsert(jobs, store.upsert_rows)
     store.append_rejects(store.stored_rejects(fresh, run_id), f"{kept.root}/rejects")
 

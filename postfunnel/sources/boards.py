@@ -32,10 +32,11 @@ def union_boards(frames: list[DataFrame]) -> DataFrame:
 def with_capabilities(postings: DataFrame, capabilities: DataFrame) -> DataFrame:
     """What each board can be trusted on; an undeclared flag takes its default.
 
-    ``capabilities`` has one row per board, so it is small enough to broadcast.
+    ``capabilities`` has one row per board.  It is joined without a hint: a
+    declared list is small and known to be, so the planner broadcasts it.
     """
     flags = [c for c in vocab.CAPABILITY_DEFAULTS if c in capabilities.columns]
-    rows = postings.join(F.broadcast(capabilities.select("source", *flags)), "source", "left")
+    rows = postings.join(capabilities.select("source", *flags), "source", "left")
     for flag, default in vocab.CAPABILITY_DEFAULTS.items():
         value = F.coalesce(flag, F.lit(default)) if flag in flags else F.lit(default)
         rows = rows.withColumn(flag, value)

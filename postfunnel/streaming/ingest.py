@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.streaming import StreamingQuery
 
 from postfunnel.operators import funnel
-from postfunnel.operators.store import VersionedTable, upsert_rows
+from postfunnel.operators.store import VersionedTable, latest, upsert_rows
 from postfunnel.policy import Profile
 
 
@@ -70,7 +70,8 @@ class FunnelRun:
         return rows if before is None else rows.filter(F.col("batch") < before)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        rows = batch.dropDuplicates(["uid"])
+        # Of two copies in one batch the later one, also when it is replayed.
+        rows = latest(batch, ["uid"], [F.desc("arrival")])
         earlier = self.results(before=batch_id)
         if earlier is not None and not self.rescore:
             rows = funnel.unseen(rows, earlier)

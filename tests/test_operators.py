@@ -254,13 +254,29 @@ def test_versions_survive_a_write_that_never_ended(spark, tmp_path):
     expected = [("a", 1, None), ("b", 2, "x")]
     assert sorted(map(tuple, table.read().collect())) == expected
     # Data without a pointer is what a dead writer leaves behind.
-    spark.createDataFrame([("z", 9)], "uid string, n int").write.parquet(str(tmp_path / "t" / "data" / "version=3"))
+    spark.createDataFrame([("z", 9)], "uid string, n int").write.parquet(str(tmp_path / "t" / "data" / "version=3" / "part=all"))
     assert sorted(map(tuple, table.read().collect())) == expected
     # A replayed batch writes its own version again.
     table.upsert(spark.createDataFrame([("b", 2, "x")], "uid string, n int, added string"), store.upsert_rows, version=2)
     assert sorted(map(tuple, table.read().collect())) == expected and table.version() == 2
 
 
+def test_only_touched_parts_are_rewritten(spark, tmp_path):
+    table = store.VersionedTable(spark, str(tmp_path / "t"), F.col("month"))
+
+    def rows(*values):
+        return spark.createDataFrame(values, "uid string, month string, n int")
+
+    table.upsert(rows(("a", "2026/01", 1), ("b", "2026/02", 1), ("c", "2026/03", 1)), store.upsert_rows)
+    table.upsert(rows(("b", "2026/03", 2)), store.upsert_rows)  # b moves, its old month is empty now
+    assert sorted(map(tuple, table.read().collect())) == [("a", "2026/01", 1), ("b", "2026/03", 2), ("c", "2026/03", 1)]
+    assert sorted(p.name for p in (tmp_path / "t" / "data" / "version=2").glob("part=*")) == ["part=2026-03"]
+    table.upsert(rows(("b", "2026/03", 2)), store.upsert_rows, version=2)
+    assert len(table.read().collect()) == 3
+    table.replace(rows(("z", "2026/02", 5)))
+    assert sorted(map(tuple, table.read().collect())) == [("z", "2026/02", 5)]
+
+
 @pytest.mark.parametrize("runs, since", [
     ([], "2026-09-02 12:00:00"), ([(1, "2026-09-03 00:00:00", False)], "2026-09-02 12:00:00"),
     ([(1, "2026-09-03 00:00:00", True), (2, "2026-09-04 00:00:00", False)], "2026-09-03 00:00:00"),

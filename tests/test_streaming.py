@@ -58,7 +58,7 @@ def test_repeats_and_counters(spark, tmp_path):
 
     from postfunnel.operators.store import VersionedTable
 
-    table = VersionedTable(spark, str(tmp_path / "counters"))
+    table = VersionedTable(spark, str(tmp_path / "counters"), key="stage")
 
     def count():
         counted = ingest.stage_counters(ingest.file_stream(spark, path), "ts", "key", "5 days")
