@@ -90,6 +90,8 @@ class VersionedTable:
         held = old.join(rows.select(self.key), self.key, "left_semi").select("part")
         given = rows.select(self.part.alias("part"))
         touched = {r.part for r in held.union(given).distinct().collect()}
+        if not touched:
+            return None  # nothing came in
         kept = self._rows({p: v for p, v in parts.items() if p in touched})
         merged = rows if kept is None else merge(kept.drop("part"), rows)
         return self._publish(merged, touched, new)

@@ -273,6 +273,8 @@ def test_only_touched_parts_are_rewritten(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "t" / "data" / "version=2").glob("part=*")) == ["part=2026-03"]
     table.upsert(rows(("b", "2026/03", 2)), store.upsert_rows, version=2)
     assert len(table.read().collect()) == 3
+    table.upsert(rows(("b", "2026/03", 2)).limit(0), store.upsert_rows)  # an empty batch changes nothing
+    assert len(table.read().collect()) == 3
     table.replace(rows(("z", "2026/02", 5)))
     assert sorted(map(tuple, table.read().collect())) == [("z", "2026/02", 5)]
 
