@@ -12,9 +12,9 @@ from postfunnel.session import shared_dir
 from postfunnel.streaming import ingest, throttle
 
 
-def table_stream(spark, d, name, per_batch=None):
+def table_stream(spark, d, name, bytes_per_batch=None):
     # A pattern, because a table may be one file or a folder of files.
-    return ingest.file_stream(spark, f"{d}/{name}.parquet*", files_per_batch=per_batch)
+    return ingest.file_stream(spark, f"{d}/{name}.parquet*", bytes_per_batch=bytes_per_batch)
 
 
 def posting_stream(spark, d):
@@ -116,9 +116,9 @@ _WINDOW_MINUTES, _MOST = 60 * 24 * 6, 2
 def failure_throttle(spark, d):
     root = shared_dir(spark, "throttle")
     ts = F.col("ts").cast("timestamp")
-    attempts = table_stream(spark, d, "events", 8).filter(F.col("event_type").isin("error", "signup")).select(
+    attempts = table_stream(spark, d, "events", 256 << 20).filter(F.col("event_type").isin("error", "signup")).select(
         F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("attempt_no"), ts.alias("ts"),
-        F.unix_micros(ts).alias("at"), (F.col("event_type") == "error").alias("failed")).withWatermark("ts", "1 hour")
+        F.unix_micros(ts).alias("at"), (F.col("event_type") == "error").alias("failed")).withWatermark("ts", "60 days")
     out = throttle.throttle(attempts, _WINDOW_MINUTES, _MOST)
     ingest.append_available(out, f"{root}/rows", f"{root}/checkpoint")
     return spark.read.parquet(f"{root}/rows").drop("at")

@@ -18,11 +18,13 @@ from postfunnel.policy import Profile
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType | None = None,
-                files_per_batch: int | None = None) -> DataFrame:
+                files_per_batch: int | None = None, bytes_per_batch: int | None = None) -> DataFrame:
     """New Parquet files of a folder; the size of a batch bounds its memory."""
     reader = spark.readStream.schema(schema or spark.read.parquet(path).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if bytes_per_batch:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
     return reader.parquet(path)
 
 
