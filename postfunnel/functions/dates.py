@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from postfunnel.functions.text import let
+
 DAY_MICROS = 86_400_000_000
 _FIRST_SECOND = -62_135_596_800
 _LAST_SECOND = 253_402_300_799
@@ -35,13 +37,15 @@ def epoch_millis(value: Column) -> Column:
 
 
 def iso_time(value: Column) -> Column:
-    text = F.btrim(value.cast("string"))
-    plain = F.replace(F.upper(text), F.lit(","), F.lit("."))
-    zoned = F.regexp_replace(plain, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    zoned = F.regexp_replace(zoned, r"^(.{11}\d{2}:\d{2})(?!:)", "$1:00")
-    # A bare date ends in -dd, which the zone rewrite must leave alone.
-    readable = F.when(F.length(text) <= 10, plain).otherwise(zoned)
-    return F.when(text.rlike(_ISO), F.try_to_timestamp(readable))
+    """ISO text as a time; text without a zone is UTC, and junk is null."""
+    def read(text: Column) -> Column:
+        plain = F.replace(F.upper(text), F.lit(","), F.lit("."))
+        zoned = F.regexp_replace(plain, r"([+-]\d{2})(\d{2})$", "$1:$2")
+        timed = F.regexp_replace(zoned, r"^(.{11}\d{2}:\d{2})(?!:)", "$1:00")
+        # A bare date ends in -dd, which the zone rewrite must leave alone.
+        return F.when(text.rlike(_ISO), F.try_to_timestamp(F.when(F.length(text) <= 10, plain).otherwise(timed)))
+
+    return let(F.btrim(value.cast("string")), read)
 
 
 def posted_time(date_posted: Column, pub_date: Column) -> Column:

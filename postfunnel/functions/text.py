@@ -31,8 +31,11 @@ def strip(column: Column) -> Column:
 
 
 def squeeze(column: Column) -> Column:
-    """Runs of white space become one blank, and the ends are trimmed."""
-    return strip(F.regexp_replace(column, f"[{SPACE_CLASS}]+", " "))
+    """Runs of white space become one blank, and the ends are trimmed.
+
+    A single blank, by far the most common case, is not matched at all.
+    """
+    return strip(F.regexp_replace(column, f"[{SPACE_CLASS}]{{2,}}|[{SPACE_CLASS}&&[^ ]]", " "))
 
 
 def fold(column: Column) -> Column:
@@ -77,7 +80,7 @@ def strip_html(raw: Column) -> Column:
     for entity, char in vocab.ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
     text = _decimal_entities(text)
-    text = F.regexp_replace(text, r"[ \t\r\f\x0B]+", " ")
+    text = F.regexp_replace(text, r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]", " ")
     text = F.regexp_replace(text, rf"\n[{SPACE_CLASS}]*\n[{SPACE_CLASS}]*", "\n\n")
     return strip(text)
 
@@ -91,7 +94,7 @@ def scrub_links(raw: Column) -> Column:
     text = F.regexp_replace(text, rf"(?i)\bwww\.[^{SPACE_CLASS}]+", " ")
     text = F.replace(text, F.lit("&nbsp;"), F.lit(" "))
     text = F.replace(text, F.lit("&amp;"), F.lit("&"))
-    text = F.regexp_replace(text, r"[ \t]+", " ")
+    text = F.regexp_replace(text, r"[ \t]{2,}|\t", " ")
     text = F.regexp_replace(text, rf"\n[{SPACE_CLASS}]*\n[{SPACE_CLASS}]*", "\n\n")
     return strip(text)
 
