@@ -8,7 +8,7 @@ from postfunnel.functions import regions
 from postfunnel.operators import funnel, hydrate, store
 from postfunnel.plans import sample, views
 from postfunnel.plans.catalog import query
-from postfunnel.plans.catalog.duck import ADMITS, NOW, sql
+from postfunnel.plans.catalog.duck import ADMITS, sql
 from postfunnel.sources import boards, cards
 
 

@@ -55,23 +55,30 @@ def from_text(rows: DataFrame, now: Column, body: str = "body", url: str = "url"
     )
 
 
-def from_plain_pages(pages: DataFrame, now: Column) -> DataFrame:
+def from_plain_pages(pages: DataFrame, now: Column, board: str = vocab.BOARD_MANUAL) -> DataFrame:
     """Pages without structured data: their own text and title."""
     rows = pages.select("url", page_text(F.col("html")).alias("body"), page_title(F.col("html")).alias("_title"))
-    return from_text(rows, now, title=F.col("_title"))
+    return from_text(rows, now, title=F.col("_title"), board=board)
+
+
+def _has_block(pages: DataFrame) -> Column:
+    return F.coalesce(pages["html"].rlike(r"(?i)application/ld\+json"), F.lit(False))
+
+
+def _with_posting(pages: DataFrame) -> DataFrame:
+    """Pages that have a JSON-LD block, with the posting found in it.  The
+    others never reach the Python helper."""
+    return pages.filter(_has_block(pages)).select("url", "html", jsonld.job_posting(F.col("html")).alias("p"))
 
 
 def from_json_ld(pages: DataFrame, now: Column, board: str = vocab.BOARD_MANUAL) -> DataFrame:
-    """Pages with a JSON-LD job posting; the others are dropped.
+    """Pages with a JSON-LD job posting; the others are dropped."""
+    return _structured(_with_posting(pages), now, board)
 
-    Pages without a block never reach the Python helper.
-    """
-    with_block = pages.filter(F.col("html").rlike(r"(?i)application/ld\+json"))
-    found = with_block.select("url", jsonld.job_posting(F.col("html")).alias("p")).filter(
-        F.col("p.title").isNotNull()
-    )
+
+def _structured(found: DataFrame, now: Column, board: str) -> DataFrame:
     text = strip_html(F.col("p.description"))
-    return found.select(
+    return found.filter(F.col("p.title").isNotNull()).select(
         F.lit(board).alias("source"),
         F.col("url").alias("source_id"),
         row_id(F.lit(board), F.col("url")).alias("uid"),
@@ -92,9 +99,12 @@ def from_json_ld(pages: DataFrame, now: Column, board: str = vocab.BOARD_MANUAL)
     )
 
 
-def from_pages(pages: DataFrame, now: Column) -> DataFrame:
-    """Each page by its structured data, else by its text."""
+def from_pages(pages: DataFrame, now: Column, board: str = vocab.BOARD_MANUAL) -> DataFrame:
+    """Each page by its structured data, else by its text.  The pages are told
+    apart row by row, so no page is ever shuffled."""
     readable = without_challenges(pages)
-    structured = from_json_ld(readable, now)
-    plain = readable.join(structured.select("url"), "url", "left_anti")
-    return structured.unionByName(from_plain_pages(plain, now), allowMissingColumns=True)
+    found = _with_posting(readable)
+    plain = readable.filter(~_has_block(readable)).select("url", "html").unionByName(
+        found.filter(F.col("p.title").isNull()).drop("p"))
+    return _structured(found, now, board).unionByName(
+        from_plain_pages(plain, now, board), allowMissingColumns=True)
