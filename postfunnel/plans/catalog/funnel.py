@@ -90,12 +90,12 @@ def region_unverified(spark, d):
 
 
 def _stored(spark, d):
-    """Rows of earlier runs: every seventh advert scored, every eleventh rejected."""
+    """Rows of earlier runs: every seventh advert scored, every thirteenth rejected."""
     jobs = views.view(spark, d, "jobs")
-    return jobs.filter("arrival % 7 = 0"), jobs.filter("arrival % 11 = 0")
+    return jobs.filter("arrival % 7 = 0"), jobs.filter("arrival % 13 = 0")
 
 
-_SEEN = "(arrival % 7 = 0 OR arrival % 11 = 0)"
+_SEEN = "(arrival % 7 = 0 OR arrival % 13 = 0)"
 
 
 @query("p09_unseen", sql(f"SELECT uid FROM postings WHERE NOT {_SEEN}", "postings"))
