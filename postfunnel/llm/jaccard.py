@@ -17,8 +17,9 @@ signature that all such sets share.  So each similar pair of different sets
 shares a signature, without exception.
 
 Sets that share a signature are linked only after their shingles were compared:
-first each set with the least one of its signature, then, where a signature's
-sets are not all connected by that, the remaining pairs across components.  A
+first each set with one least set of a signature of its, then with the least
+ones of its others, then, where a signature's sets are not all connected by
+that, the remaining pairs; always only pairs across components.  A
 bit sketch, whose differing bits never exceed the differing shingles, spares
 most of the comparisons that fail.
 
@@ -45,6 +46,8 @@ WORDS = 5
 DEALS = 8
 BLOCK = 2048
 SKETCH_BITS = 1024
+#: Bytes of a shingle's hash that are compared: 4000 different shingles meet by chance once in 10**7 pairs.
+KEPT = 6
 FILTER_BITS = 1 << 23
 FLUSH = 1_000_000
 _U = np.uint64
@@ -82,12 +85,32 @@ def set_keys(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(_sums(mix(sets ^ _U(0x5851F42D4C957F2D)), bounds) + np.diff(bounds).astype(_U)).view(np.int64)
 
 
-def sketches(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Parity of the shingles that fall on each bit, as rows of bytes."""
-    n = len(bounds) - 1
-    owner = np.repeat(np.arange(n), np.diff(bounds))
-    odd = np.bincount(owner * SKETCH_BITS + (mix(sets ^ _U(77)) % _U(SKETCH_BITS)).astype(np.int64), minlength=n * SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(n, SKETCH_BITS), axis=1)
+def sketches(sets: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Parity of the shingles that fall on each bit; at least two bits a shingle, a power of two of them."""
+    sizes = np.diff(bounds)
+    bits = np.maximum(SKETCH_BITS, 1 << np.ceil(np.log2(2 * np.maximum(sizes, 1))).astype(np.int64))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    start = np.cumsum(bits) - bits
+    at = start[owner] + (mix(sets ^ _U(77)) & (bits[owner] - 1).astype(_U)).astype(np.int64)
+    packed = np.packbits((np.bincount(at, minlength=int(bits.sum())) & 1).astype(np.uint8))
+    return [packed[a // 8:(a + n) // 8].tobytes() for a, n in zip(start.tolist(), bits.tolist())]
+
+
+def bits_apart(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """In how many bits each two sketches differ, the longer one folded to the shorter one's length."""
+    out = np.zeros(len(left), np.int64)
+    sizes = np.array([min(len(a), len(b)) for a, b in zip(left, right)])
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        own = [np.frombuffer(b"".join(_fold(side[n], size) for n in at.tolist()), np.uint8).reshape(-1, size) for side in (left, right)]
+        out[at] = np.bitwise_count(own[0] ^ own[1]).sum(1, dtype=np.int64)
+    return out
+
+
+def _fold(sketch: bytes, size: int) -> bytes:
+    if len(sketch) == size:
+        return sketch
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint8).reshape(-1, size), axis=0).tobytes()
 
 
 def signatures(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,7 +261,7 @@ def _sets(size: int):
                 sets, bounds = shingle_sets(part.column("text"), size)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column("doc_id"), "text_hash": part.column("text_hash"), "n_shingles": pa.array(np.diff(bounds), pa.int64()), "key": pa.array(set_keys(sets, bounds)),
-                    "sketch": pa.array(list(map(bytes, sketches(sets, bounds))), pa.binary())})
+                    "sketch": pa.array(sketches(sets, bounds), pa.binary())})
     return run
 
 
@@ -248,18 +271,28 @@ def _similar_sketch(batches):
         frame = {n: batch.column(n) for n in batch.schema.names}
         if not batch.num_rows:
             continue
-        sides = [np.frombuffer(b"".join(frame[s].to_pylist()), np.uint8).reshape(-1, SKETCH_BITS // 8) for s in ("sketch_a", "sketch_b")]
-        apart = np.bitwise_count(sides[0] ^ sides[1]).sum(1, dtype=np.int64)
+        apart = bits_apart(frame["sketch_a"].to_pylist(), frame["sketch_b"].to_pylist())
         n_a, n_b = frame["n_a"].to_numpy(), frame["n_b"].to_numpy()
         keep = 7 * np.maximum(apart, abs(n_a - n_b)) <= n_a + n_b
         yield pa.RecordBatch.from_arrays([frame["a"], frame["b"]], ["a", "b"]).filter(pa.array(keep))
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """The highest bytes of 64-bit hashes."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - KEPT:]).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // KEPT, 8), np.uint8)
+    out[:, 8 - KEPT:] = np.frombuffer(data, np.uint8).reshape(-1, KEPT)
+    return out.view("<u8").ravel()
+
+
 def _linked(batches):
     for batch in batches:
         keep = []
         for a, b in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
-            a, b = np.frombuffer(a, _U), np.frombuffer(b, _U)
+            a, b = _unpacked(a), _unpacked(b)
             both = len(np.intersect1d(a, b, assume_unique=True))
             keep.append(100 * both >= 75 * (len(a) + len(b) - both))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
@@ -284,10 +317,10 @@ def _compare(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
                 some = [n for n in some if keys[n] not in seen and not seen.add(keys[n])]
                 if some:
                     yield pa.RecordBatch.from_pydict({
-                        "key": pa.array(keys[some]), "set": pa.array([sets[bounds[n]:bounds[n + 1]].tobytes() for n in some], pa.binary())})
+                        "key": pa.array(keys[some]), "set": pa.array([_packed(sets[bounds[n]:bounds[n + 1]]) for n in some], pa.binary())})
 
     blobs = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(run, "key long, set binary")
-    blobs = written(blobs.dropDuplicates(["key"]).join(wanted.distinct(), "key", "left_semi"), "sets")
+    blobs = written(blobs, "sets").groupBy("key").agg(F.first("set").alias("set"))
     sides = [blobs.select(F.col("key").alias(s), F.col("set").alias(f"set_{s}")) for s in ("a", "b")]
     return pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", "set_a", "set_b").mapInArrow(_linked, "u long, v long")
 
@@ -303,19 +336,16 @@ def _across(batches):
     """Pairs of sets of different components, from two blocks of a signature's sets."""
     for batch in batches:
         for same, left, right in zip(*(batch.column(c).to_pylist() for c in ("same", "left", "right"))):
-            side = []
-            for block in (left, right):
-                side.append(tuple(np.array([m[c] for m in block]) for c in ("key", "root", "n"))
-                            + (np.frombuffer(b"".join(m["sketch"] for m in block), np.uint8).reshape(len(block), -1),))
-            (ka, ra, na, sa), (kb, rb, nb, sb) = side
+            (ka, ra, na), (kb, rb, nb) = [tuple(np.array([m[c] for m in block]) for c in ("key", "root", "n")) for block in (left, right)]
+            sb = [m["sketch"] for m in right]
             a_out, b_out = [], []
             for n in range(len(ka)):
                 may = (rb != ra[n]) & (7 * abs(nb - na[n]) <= nb + na[n])
                 if same:
                     may &= kb > ka[n]
                 at = np.flatnonzero(may)
-                apart = np.bitwise_count(sb[at] ^ sa[n]).sum(1, dtype=np.int64)
-                at = at[7 * apart <= nb[at] + na[n]]
+                if len(at):
+                    at = at[7 * bits_apart([left[n]["sketch"]] * len(at), [sb[m] for m in at.tolist()]) <= nb[at] + na[n]]
                 a_out.append(np.full(len(at), ka[n]))
                 b_out.append(kb[at])
             a, b = np.concatenate(a_out), np.concatenate(b_out)
@@ -349,11 +379,24 @@ def near_duplicates(docs: DataFrame, size: int = WORDS) -> DataFrame:
 
     # Members are sorted: the first is the least.
     stars = groups.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", 2, F.greatest(F.size("members"), F.lit(1)))).alias("b")).distinct()
-    first = written(_compare(written(sketched(stars), "pairs"), docs, size), "links")
-    roots = written(components(first), "roots")
+    stars = written(sketched(stars), "pairs")
+    root = F.coalesce("root", "key")
+
+    def rooted(pairs, roots):
+        """The pairs whose sets are of different components so far."""
+        for s in ("a", "b"):
+            pairs = pairs.join(roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}")), s, "left")
+        return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+    # One comparison for each set, then those that may still connect something.
+    links = written(_compare(written(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs"), docs, size), "links")
+    roots = written(components(links), "roots")
+    late = written(rooted(stars, roots), "pairs")
+    if not late.isEmpty():
+        links = written(links.unionByName(_compare(late, docs, size)), "links")
+        roots = written(components(links), "roots")
 
     # Signatures whose sets are not all connected yet: pairs across components.
-    root = F.coalesce("root", "key")
     members = groups.select("name", F.posexplode("members").alias("at", "key")).join(roots.withColumnRenamed("node", "key"), "key", "left").select("name", "at", "key", root.alias("root"))
     open_names = members.groupBy("name").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("name")
     blocks = (
@@ -365,9 +408,11 @@ def near_duplicates(docs: DataFrame, size: int = WORDS) -> DataFrame:
     left = blocks.select("name", F.col("block").alias("x"), F.col("sets").alias("left"))
     right = blocks.select("name", F.col("block").alias("y"), F.col("sets").alias("right"))
     across = left.join(right, "name").where("x <= y").select((F.col("x") == F.col("y")).alias("same"), "left", "right").mapInArrow(_across, "a long, b long")
-    second = _compare(written(across.distinct(), "pairs"), docs, size)
+    # Pairs of a signature's least set have been compared already.
+    late = written(across.distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
+    if not late.isEmpty():
+        roots = written(components(links.unionByName(_compare(late, docs, size))), "roots")
 
-    roots = written(components(first.unionByName(second)), "roots")
     named = sets.select("key", "row").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "row", root.alias("root"))
     class_of = named.join(named.groupBy("root").agg(F.min("row").alias("least")), "root").select("key", "least")
     own = F.struct("doc_id", "text_hash")
