@@ -95,8 +95,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return state.powers[:n], state.inverse[:n]
 
 
-def word_hashes(column: pa.Array, marks: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of all texts end to end, and the n + 1 bounds of the texts among them.
+def word_spans(column: pa.Array, marks: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts, where each word starts and ends, and the n + 1 bounds of the texts among the words.
 
     With ``marks`` false, ASCII punctuation inside words is left out first.
     """
@@ -106,16 +106,28 @@ def word_hashes(column: pa.Array, marks: bool = True) -> tuple[np.ndarray, np.nd
         bounds = np.concatenate(([0], np.cumsum(keep)))[bounds]
         data = data[keep]
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
+        none = np.zeros(0, np.int64)
+        return data, none, none, np.zeros(len(bounds), np.int64)
     inside = ~_BLANK[data]
     first = np.zeros(len(data) + 1, bool)
     first[bounds] = True
     starts = np.flatnonzero(inside & (first[:-1] | ~np.concatenate(([False], inside[:-1]))))
     ends = np.flatnonzero(inside & (first[1:] | ~np.concatenate((inside[1:], [False])))) + 1
+    return data, starts, ends, np.searchsorted(starts, bounds)
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    if not len(starts):
+        return np.zeros(0, np.uint64)
     up, down = _powers(len(data))
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up)))
-    hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return hashes, np.searchsorted(starts, bounds)
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def word_hashes(column: pa.Array, marks: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers of all texts end to end, and the n + 1 bounds of the texts among them."""
+    data, starts, ends, bounds = word_spans(column, marks)
+    return hash_spans(data, starts, ends), bounds
 
 
 def windows(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
