@@ -57,12 +57,12 @@ _KEY = "translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12)
 
 @query("op4_line_dedup", f"""
     WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
-    l AS (SELECT r, doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS at FROM d),
-    k AS (SELECT r, doc_id, at, line, {_KEY} AS key FROM l),
+    l AS (SELECT r, doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS pos FROM d),
+    k AS (SELECT r, doc_id, pos, line, {_KEY} AS key FROM l),
     f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
-    m AS (SELECT r, at, line, key IN (SELECT key FROM f) AS gone FROM k)
+    m AS (SELECT r, pos, line, key IN (SELECT key FROM f) AS gone FROM k)
     SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
-      sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '')) AS kept_sha256
+      sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
     FROM m JOIN d USING (r) GROUP BY r""")
 def line_dedup(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
@@ -101,8 +101,8 @@ def ngram_jaccard_join(spark, d):
 
 
 @query("op10_exact_topk_search", """
-    WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
-      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
       FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)

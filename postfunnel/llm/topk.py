@@ -80,15 +80,16 @@ def _ends(block: Block):
     return run
 
 
-def _histogram(block: Block, ranges: dict[int, tuple[int, int, int]], k: int):
-    """Counts per bin within each query's range (low, width, wanted), bins a task cannot need left out."""
+def _histogram(block: Block, ranges: dict[int, tuple[int, int, int, int]], k: int):
+    """Counts per bin within each query's range (low, width, rank, last), bins a task cannot need left out."""
     def run(batches):
         for batch in batches:
             for n, _, s, counts in block.scores(batch):
                 queries = block.ids[n]
                 low = np.array([ranges[q][0] if q in ranges else 0 for q in queries.tolist()], np.int64)
                 width = np.array([ranges[q][1] if q in ranges else 0 for q in queries.tolist()], np.int64)
-                ok = counts & (width[:, None] > 0) & (s >= low[:, None])
+                last = np.array([ranges[q][3] if q in ranges else -1 for q in queries.tolist()], np.int64)
+                ok = counts & (width[:, None] > 0) & (s >= low[:, None]) & (s <= last[:, None])
                 bins = np.where(ok, (s - low[:, None]) // np.maximum(width, 1)[:, None], BINS)
                 q, at = np.nonzero(bins < BINS)
                 table = np.bincount(q * BINS + bins[q, at], minlength=len(queries) * BINS).reshape(-1, BINS)
@@ -118,7 +119,7 @@ def _search(rows: DataFrame, block: Block, k: int) -> DataFrame:
             .agg(F.min("low"), F.max("high"), F.sum("n")).collect())
     least = {r[0]: r[1] for r in ends if r[3] <= k}
     # The score wanted is the (rank)-th highest of those from low to high.
-    open_ = {r[0]: (r[1], -(-(r[2] - r[1] + 1) // BINS), k) for r in ends if r[3] > k}
+    open_ = {r[0]: (r[1], -(-(r[2] - r[1] + 1) // BINS), k, r[2]) for r in ends if r[3] > k}
     while open_:
         counts = rows.mapInArrow(_histogram(block, open_, k), "query_id long, bin long, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         down = W.partitionBy("query_id").orderBy(F.col("bin").desc())
@@ -130,12 +131,12 @@ def _search(rows: DataFrame, block: Block, k: int) -> DataFrame:
                .select("query_id", "bin", (F.col("upto") - F.col("n")).alias("above")).collect())
         following = {}
         for q, b, above in hit:
-            low, width, rank = open_[q]
+            low, width, rank, last = open_[q]
             if width == 1:
                 least[q] = low + b
             else:
-                following[q] = (low + b * width, -(-width // BINS), rank - above)
-        open_ = {q: (low, width, rank) for q, (low, width, rank) in following.items()}
+                following[q] = (low + b * width, -(-width // BINS), rank - above, min(last, low + (b + 1) * width - 1))
+        open_ = following
     return rows.mapInArrow(_best(block, least, k), "query_id long, vec_id long, score long")
 
 

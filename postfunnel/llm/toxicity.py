@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from postfunnel.llm.common import slices
+from postfunnel.llm.common import slices, windows, word_hashes
 
 #: Beginnings of words that count as entries, in bytes; 0 stands for the whole word.
 KINDS = (0, 4, 5, 6, 7)
@@ -44,7 +44,7 @@ def entries_of(text: str | None) -> tuple[set[bytes], int]:
     found = {b"0" + w for w in own}
     for n in KINDS[1:]:
         tag = b"%d" % n
-        found.update([tag + w[:n] for w in own if len(w) > n])
+        found.update([tag + w[:n] for w in own if len(w) >= n])
     return found, len(words)
 
 
@@ -62,15 +62,27 @@ def _count(batches):
             "toxic": pa.array([toxic[x] for x in part], pa.int64()), "clean": pa.array([clean[x] for x in part], pa.int64())})
 
 
+def _mark(batches):
+    """Each text with its least run of five words, which near copies mostly share."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            runs, owner, _ = windows(*word_hashes(part.column("text")), 5)
+            least = np.full(part.num_rows, np.iinfo(np.uint64).max, np.uint64)
+            np.minimum.at(least, owner, runs)
+            yield part.append_column("mark", pa.array(least.view(np.int64)))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, held_out: Column, max_rows: int) -> DataFrame:
     """text and toxic of the sample; its ids are at most 2 * max_rows numbers, so they are broadcast."""
     known = (labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
              .where(~F.coalesce(held_out, F.lit(True))))
     picks = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for y in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(picks[0].unionByName(picks[1])), "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picks[0].unionByName(picks[1])), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    # A group of near copies teaches about once, or all its words would look like entries.
+    return rows.mapInArrow(_mark, "text string, toxic int, mark long").groupBy("toxic", "mark").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
-def find_entries(sample: DataFrame, min_docs: int, min_lift: float, max_entries: int) -> tuple[list[bytes], int, int]:
+def find_entries(sample: DataFrame, min_docs: int, min_share: float, min_lift: float, min_precision: float, max_entries: int) -> tuple[list[bytes], int, int]:
     """The entries with the strongest tie to toxic texts, and the sizes of the classes."""
     sizes = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
@@ -79,7 +91,8 @@ def find_entries(sample: DataFrame, min_docs: int, min_lift: float, max_entries:
     counts = sample.mapInArrow(_count, "entry binary, toxic long, clean long").groupBy("entry").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     lift = F.log((F.col("toxic") + 0.5) / (n1 + 1.0)) - F.log((F.col("clean") + 0.5) / (n0 + 1.0))
-    best = (counts.where((F.col("toxic") >= min_docs) & (lift >= min_lift))
+    best = (counts.where((F.col("toxic") >= max(min_docs, min_share * n1)) & (lift >= min_lift)
+                         & (F.col("toxic") >= min_precision * (F.col("toxic") + F.col("clean"))))
             .orderBy((F.col("toxic") * lift).desc(), "entry").limit(max_entries))
     return [bytes(r[0]) for r in best.collect()], n1, n0
 
@@ -117,8 +130,8 @@ def _vote(index):
 def label_model(masks: np.ndarray, counts: np.ndarray, rounds: int = 40) -> np.ndarray:
     """The posterior of the hidden class for each pattern of votes.
 
-    EM over P(class), P(voter fires | class); each voter's log odds are divided
-    by one plus the sum of its positive correlations with the others within the classes.
+    EM over P(class), P(voter fires | class); each voter's log odds are divided by
+ the root of one plus its positive correlations with the others within the classes.
     """
     v = ((masks[:, None] >> np.arange(VOTERS)) & 1).astype(float)
     n = counts.astype(float)
@@ -134,14 +147,14 @@ def label_model(masks: np.ndarray, counts: np.ndarray, rounds: int = 40) -> np.n
             cov += (d * w[:, None]).T @ d / n.sum()
         spread = np.sqrt(np.diag(cov)) + 1e-9
         repeats = np.clip(cov / spread[:, None] / spread[None, :], 0, 1)
-        weight = 1 / (1 + repeats.sum(1) - np.diag(repeats))
+        weight = 1 / np.sqrt(1 + repeats.sum(1) - np.diag(repeats))
         fires, silent = np.log(rate[0] / rate[1]), np.log((1 - rate[0]) / (1 - rate[1]))
         odds = np.log(share / (1 - share)) + (weight * (v * fires + (1 - v) * silent)).sum(1)
         post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return post
 
 
-def fit_linear(hits: list[list[int]], target: np.ndarray, weight: np.ndarray, size: int, rounds: int = 400) -> np.ndarray:
+def fit_linear(hits: list[list[int]], target: np.ndarray, weight: np.ndarray, size: int, rounds: int = 2_000) -> np.ndarray:
     """Weights of the entries and, last, the bias: logistic loss against soft labels, by Adam."""
     row = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
     col = np.array([c for h in hits for c in h], dtype=np.int64)
@@ -153,24 +166,27 @@ def fit_linear(hits: list[list[int]], target: np.ndarray, weight: np.ndarray, si
         miss = weight * (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - target)
         grad = np.append(np.bincount(col, miss[row], size), miss.sum()) / total + 1e-6 * w
         m, s = 0.9 * m + 0.1 * grad, 0.99 * s + 0.01 * grad * grad
-        w -= 0.1 * (m / (1 - 0.9 ** t)) / (np.sqrt(s / (1 - 0.99 ** t)) + 1e-8)
+        w -= 0.1 * (1 - t / (rounds + 1)) * (m / (1 - 0.9 ** t)) / (np.sqrt(s / (1 - 0.99 ** t)) + 1e-8)
+        w[:-1] = np.maximum(w[:-1], 0)
     return w
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column, max_rows: int = 20_000, min_docs: int = 4,
-        min_lift: float = 3.0, max_entries: int = 4_000) -> tuple[dict[bytes, int], np.ndarray]:
-    """The entries and the classifier's weights."""
+        min_share: float = 0.015, min_lift: float = 3.0, min_precision: float = 0.98, max_entries: int = 4_000) -> tuple[dict[bytes, int], np.ndarray]:
+    """The entries and the classifier's weights: of each entry, of having any, and the bias."""
     sample = labelled(docs, labels, held_out, max_rows)
-    names, _, _ = find_entries(sample, min_docs, min_lift, max_entries)
+    names, _, _ = find_entries(sample, min_docs, min_share, min_lift, min_precision, max_entries)
     index = {x: n for n, x in enumerate(names)}
     if not index:
-        return {}, np.array([-np.inf])
+        return {}, np.array([0.0, -np.inf])
     # One row for each different set of votes and entries; the sample bounds them.
     seen = sample.select("text").mapInArrow(_vote(index), "hits array<int>, mask long").groupBy("hits", "mask").count().collect()
     seen = sorted((tuple(r["hits"]), r["mask"], r["count"]) for r in seen)
     count = np.array([r[2] for r in seen])
-    post = label_model(np.array([r[1] for r in seen], dtype=np.int64), count)
-    return index, fit_linear([list(r[0]) for r in seen], post, count.astype(float), len(index))
+    # No posterior is taken for certain, or the classifier's bias would grow without end.
+    post = np.clip(label_model(np.array([r[1] for r in seen], dtype=np.int64), count), 0.01, 0.99)
+    # Beside its entries (which never speak for a text) it has one more feature, that it has any.
+    return index, fit_linear([[*r[0], len(index)] if r[0] else [] for r in seen], post, count.astype(float), len(index) + 1)
 
 
 def score(docs: DataFrame, index: dict[bytes, int], weights: np.ndarray) -> DataFrame:
@@ -181,8 +197,10 @@ def score(docs: DataFrame, index: dict[bytes, int], weights: np.ndarray) -> Data
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                odds = [weights[-1] + sum(weights[index[x]] for x in entries_of(t)[0] if x in index)
-                        for t in part.column("text").to_pylist()]
+                odds = []
+                for t in part.column("text").to_pylist():
+                    hits = [weights[index[x]] for x in entries_of(t)[0] if x in index]
+                    odds.append(weights[-1] + (sum(hits) + weights[-2] if hits else 0.0))
                 value = 1 / (1 + np.exp(-np.clip(np.array(odds), -700, 700)))
                 columns = [part.column(c) for c in keep]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(np.where(np.isneginf(odds), 0.0, value))], [*keep, "score"])
