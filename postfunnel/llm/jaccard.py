@@ -46,6 +46,8 @@ WORDS = 5
 DEALS = 8
 BLOCK = 2048
 SKETCH_BITS = 1024
+#: Bytes of the short sketch that goes where many of them are needed.
+BRIEF = 64
 #: Bytes of a shingle's hash that are compared: 4000 different shingles meet by chance once in 10**7 pairs.
 KEPT = 6
 FILTER_BITS = 1 << 23
@@ -259,9 +261,10 @@ def _sets(size: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 sets, bounds = shingle_sets(part.column("text"), size)
+                long = sketches(sets, bounds)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column("doc_id"), "text_hash": part.column("text_hash"), "n_shingles": pa.array(np.diff(bounds), pa.int64()), "key": pa.array(set_keys(sets, bounds)),
-                    "sketch": pa.array(sketches(sets, bounds), pa.binary())})
+                    "sketch": pa.array(long, pa.binary()), "brief": pa.array([_fold(x, BRIEF) for x in long], pa.binary())})
     return run
 
 
@@ -337,15 +340,14 @@ def _across(batches):
     for batch in batches:
         for same, left, right in zip(*(batch.column(c).to_pylist() for c in ("same", "left", "right"))):
             (ka, ra, na), (kb, rb, nb) = [tuple(np.array([m[c] for m in block]) for c in ("key", "root", "n")) for block in (left, right)]
-            sb = [m["sketch"] for m in right]
+            sa, sb = (np.frombuffer(b"".join(m["brief"] for m in block), np.uint8).reshape(-1, BRIEF) for block in (left, right))
             a_out, b_out = [], []
             for n in range(len(ka)):
                 may = (rb != ra[n]) & (7 * abs(nb - na[n]) <= nb + na[n])
                 if same:
                     may &= kb > ka[n]
                 at = np.flatnonzero(may)
-                if len(at):
-                    at = at[7 * bits_apart([left[n]["sketch"]] * len(at), [sb[m] for m in at.tolist()]) <= nb[at] + na[n]]
+                at = at[7 * np.bitwise_count(sb[at] ^ sa[n]).sum(1, dtype=np.int64) <= nb[at] + na[n]]
                 a_out.append(np.full(len(at), ka[n]))
                 b_out.append(kb[at])
             a, b = np.concatenate(a_out), np.concatenate(b_out)
@@ -360,26 +362,26 @@ def near_duplicates(docs: DataFrame, size: int = WORDS) -> DataFrame:
     for its component, the least by doc_id and text_hash (equal rows alike).
     """
     docs = docs.select("doc_id", "text")
-    buckets = 2 * partitions(docs.sparkSession)
+    buckets = partitions(docs.sparkSession)
     nodes = written(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
-        _sets(size), "doc_id long, text_hash long, n_shingles long, key long, sketch binary"), "shingle-sets")
+        _sets(size), "doc_id long, text_hash long, n_shingles long, key long, sketch binary, brief binary"), "shingle-sets")
     packed = docs.where("doc_id IS NOT NULL").mapInArrow(_emit(buckets, size), "bucket int, keys binary, counts binary, low binary, high binary")
     groups = packed.repartition(partitions(docs.sparkSession), "bucket").mapInArrow(_collide, "name long, members array<long>")
     groups = written(groups.dropDuplicates(["name"]), "signature-groups")
 
     sets = (nodes.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key")
-            .agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
+            .agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("brief").alias("brief")))
     known = sets.join(groups.select(F.explode("members").alias("key")).distinct(), "key", "left_semi")
     known = written(known, "candidate-sets")
 
-    def sketched(pairs):
+    def sketched(pairs, kind):
         for s in ("a", "b"):
-            pairs = pairs.join(known.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}")), s)
+            pairs = pairs.join(known.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col(kind).alias(f"sketch_{s}")), s)
         return pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_similar_sketch, "a long, b long")
 
     # Members are sorted: the first is the least.
     stars = groups.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", 2, F.greatest(F.size("members"), F.lit(1)))).alias("b")).distinct()
-    stars = written(sketched(stars), "pairs")
+    stars = written(sketched(sketched(stars, "brief"), "sketch"), "pairs")
     root = F.coalesce("root", "key")
 
     def rooted(pairs, roots):
@@ -397,19 +399,24 @@ def near_duplicates(docs: DataFrame, size: int = WORDS) -> DataFrame:
         roots = written(components(links), "roots")
 
     # Signatures whose sets are not all connected yet: pairs across components.
-    members = groups.select("name", F.posexplode("members").alias("at", "key")).join(roots.withColumnRenamed("node", "key"), "key", "left").select("name", "at", "key", root.alias("root"))
+    members = groups.select("name", F.size("members").alias("size"), F.posexplode("members").alias("at", "key"))
+    members = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("name", "size", "at", "key", root.alias("root"))
     open_names = members.groupBy("name").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("name")
     blocks = (
-        members.join(open_names, "name", "left_semi").join(known, "key")
-        .groupBy("name", F.floor(F.col("at") / BLOCK).alias("block"))
-        .agg(F.collect_list(F.struct("key", "root", "n", "sketch")).alias("sets"))
+        members.join(open_names, "name", "left_semi").join(known.select("key", "n", "brief"), "key")
+        .groupBy("name", "size", F.floor(F.col("at") / BLOCK).alias("block"))
+        .agg(F.collect_list(F.struct("key", "root", "n", "brief")).alias("sets"))
     )
-    blocks = written(blocks, "open-groups")
-    left = blocks.select("name", F.col("block").alias("x"), F.col("sets").alias("left"))
-    right = blocks.select("name", F.col("block").alias("y"), F.col("sets").alias("right"))
-    across = left.join(right, "name").where("x <= y").select((F.col("x") == F.col("y")).alias("same"), "left", "right").mapInArrow(_across, "a long, b long")
+    alone = blocks.where(F.col("size") <= BLOCK).select(F.lit(True).alias("same"), F.col("sets").alias("left"), F.col("sets").alias("right"))
+    across = alone.mapInArrow(_across, "a long, b long")
+    if not groups.where(F.size("members") > BLOCK).isEmpty():
+        parts = written(blocks.where(F.col("size") > BLOCK), "open-groups")
+        left = parts.select("name", F.col("block").alias("x"), F.col("sets").alias("left"))
+        right = parts.select("name", F.col("block").alias("y"), F.col("sets").alias("right"))
+        across = across.unionByName(
+            left.join(right, "name").where("x <= y").select((F.col("x") == F.col("y")).alias("same"), "left", "right").mapInArrow(_across, "a long, b long"))
     # Pairs of a signature's least set have been compared already.
-    late = written(across.distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
+    late = written(sketched(across.distinct(), "sketch").join(stars, ["a", "b"], "left_anti"), "pairs")
     if not late.isEmpty():
         roots = written(components(links.unionByName(_compare(late, docs, size))), "roots")
 
