@@ -24,20 +24,25 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from postfunnel.llm.common import slices, worker_state, written
+from postfunnel.llm.common import hash_spans, slices, word_spans, worker_state, written
 
+SLICE = 4 << 20
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
-CACHE = 300_000
+#: Words a worker keeps the ids of: those met since the last turn, and as many from before it.
+CACHE = 600_000
+JOINED = 256
 
 
 class _Encoder:
-    """Token ids of texts, as little-endian 32-bit numbers, for vocabularies that drop white space.
+    """Token ids of texts for word-ending vocabularies that drop white space and case.
 
     ASCII white space ends a word in such a vocabulary, so a text's ids are its
-    words' ids in a row, and words seen before need not be encoded again.
+    words' ids in a row.  The different words of a slice are looked up by their
+    hash, and only words not met before are encoded.
     """
 
     def __init__(self, path: str):
@@ -47,35 +52,66 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
+        self.known: dict[int, bytes] = {}
+        self.before: dict[int, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word; words of letters, with or without a mark at the end, go through many at a time."""
+        out: list[bytes] = [b""] * len(words)
+        plain = []
+        for n, w in enumerate(words):
+            stem = w[:-1] if w[-1] in ".," else w
+            if stem.isalpha() and stem.lower().isalpha():  # letters are one piece, a mark after them another
+                plain.append((n, 1 if stem is w else 2))
+            else:
+                out[n] = self._ids(w).tobytes()
+        for start in range(0, len(plain), JOINED):
+            part = plain[start:start + JOINED]
+            ids = self._ids(" ".join([words[n] for n, _ in part]))
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            last = np.cumsum([pieces for _, pieces in part]) - 1
+            if len(ends) == last[-1] + 1:
+                for (n, _), own in zip(part, np.split(ids, ends[last[:-1]])):
+                    out[n] = own.tobytes()
+            else:
+                for n, _ in part:
+                    out[n] = self._ids(words[n]).tobytes()
+        return out
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        data, starts, ends, bounds = word_spans(texts)
+        keys, first, word = np.unique(hash_spans(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.known) > CACHE:
-            self.known.clear()
+            self.before, self.known = self.known, {}
+        names, known, before = keys.tolist(), self.known, self.before
+        found = [known.get(k) for k in names]
         late = []
-        for w in words:
-            if w not in self.known:
-                stem, mark = w[:-1], w[-1:]
-                if mark in (b".", b",") and stem in self.known and mark in self.known and stem.isalpha():
-                    self.known[w] = self.known[stem] + self.known[mark]
-                else:
-                    late.append(w)
-        for w, e in zip(late, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in late], add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode("utf-8").split() for t in texts]
-        for n in range(0, len(split), 64):
-            part = split[n:n + 64]
-            new = {w for words in part for w in words if w not in self.known}
-            if new:
-                plain = {w[:-1] for w in new if w[-1:] in (b".", b",") and w[:-1].isalpha()} - self.known.keys()
-                self._learn([b".", b",", *plain])
-                # Clearing the cache may have dropped words that were known a moment ago.
-                self._learn([w for words in part for w in words if w not in self.known])
-            known = self.known
-            split[n:n + 64] = [b"".join([known[w] for w in words]) for words in part]
-        return split
+        for n, ids in enumerate(found):
+            if ids is None:
+                found[n] = known[names[n]] = before.get(names[n])
+                if found[n] is None:
+                    late.append(n)
+        at = first[late]
+        fresh = self._encode_words([data[a:z].tobytes().decode("utf-8") for a, z in zip(starts[at].tolist(), ends[at].tolist())])
+        for n, ids in zip(late, fresh):
+            found[n] = known[names[n]] = ids
+        sizes = np.array([len(x) for x in found], np.int64) // 4
+        pool = np.frombuffer(b"".join(found), "<u4")
+        length = sizes[word] if len(word) else np.zeros(0, np.int64)
+        place = np.concatenate(([0], np.cumsum(length)))
+        flat = pool[np.repeat((np.cumsum(sizes) - sizes)[word] - place[:-1], length) + np.arange(place[-1])] if len(word) else pool
+        out = [flat[place[a]:place[z]] for a, z in zip(bounds[:-1], bounds[1:])]
+        # The hashes drop case, special tokens do not.
+        for n in pc.indices_nonzero(pc.fill_null(pc.match_substring(texts, "<|"), False)).to_pylist():
+            out[n] = self._ids(texts[n].as_py())
+        return out
 
 
 def encoder(path: str) -> _Encoder:
@@ -87,18 +123,16 @@ def encoder(path: str) -> _Encoder:
 
 def cut(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:
     """The pieces of all texts.  ``vocabulary`` is a tokenizers file that every executor has."""
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches):
         own, row = encoder(vocabulary), TaskContext.get().partitionId() << 36
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 out = []
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), own.encode(part.column("text").to_pylist())):
-                    ids += end
-                    for n, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        own_ids = ids[at:at + 4 * capacity]
-                        out.append((row, doc_id, n, at // 4, len(own_ids) // 4, zlib.crc32(own_ids)))
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), own.encode(part.column("text"))):
+                    ids = np.append(ids, np.array(end_id, "<u4"))
+                    for n, at in enumerate(range(0, len(ids), capacity)):
+                        piece = ids[at:at + capacity]
+                        out.append((row, doc_id, n, at, len(piece), zlib.crc32(piece.tobytes())))
                     row += 1
                 columns = list(zip(*out))
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
