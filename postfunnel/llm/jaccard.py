@@ -35,6 +35,8 @@ doc_id get n_shingles and no component.  Equal rows get equal results.
 
 from __future__ import annotations
 
+import collections
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -52,6 +54,8 @@ BRIEF = 64
 KEPT = 6
 FILTER_BITS = 1 << 23
 FLUSH = 1_000_000
+#: A bucket's signatures are sorted in so many parts; its highest of 40 bits tell them apart.
+PARTS = 16
 _U = np.uint64
 _HASH = "_near_text_hash"
 
@@ -220,16 +224,22 @@ def _emit(buckets: int, size: int):
 
 
 def _collide(batches):
-    """The different sets of sets that share a signature, among the signatures of one partition."""
-    sig, key = [], []
+    """The different sets of sets that share a signature, bucket by bucket."""
+    rows = collections.defaultdict(list)
     for batch in batches:
-        for bucket, keys, counts, low, high in zip(*(c.to_pylist() for c in batch.columns)):
-            own = np.frombuffer(low, "<u4").astype(_U) | np.frombuffer(high, np.uint8).astype(_U) << _U(32)
-            sig.append(own | _U(bucket) << _U(40))
-            key.append(np.repeat(np.frombuffer(keys, np.int64), np.frombuffer(counts, "<u4")))
-    if not sig:
-        return
-    sig, key = np.concatenate(sig), np.concatenate(key)
+        for bucket, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            rows[bucket].append(row)
+    while rows:
+        own = rows.popitem()[1]
+        sig = np.concatenate([np.frombuffer(low, "<u4").astype(_U) | np.frombuffer(high, np.uint8).astype(_U) << _U(32) for _, _, low, high in own])
+        key = np.concatenate([np.repeat(np.frombuffer(keys, np.int64), np.frombuffer(counts, "<u4")) for keys, counts, _, _ in own])
+        del own
+        for part in range(PARTS):
+            at = np.flatnonzero(sig >> _U(36) == _U(part))
+            yield from _groups(sig[at], key[at])
+
+
+def _groups(sig: np.ndarray, key: np.ndarray):
     order = np.argsort(sig)
     sig, key = sig[order], key[order]
     twin = np.zeros(len(sig), bool)
