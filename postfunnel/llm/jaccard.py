@@ -53,7 +53,7 @@ BRIEF = 64
 #: Bytes of a shingle's hash that are compared: 4000 different shingles meet by chance once in 10**7 pairs.
 KEPT = 6
 FILTER_BITS = 1 << 23
-FLUSH = 1_000_000
+FLUSH = 500_000
 #: A bucket's signatures are sorted in so many parts; its highest of 40 bits tell them apart.
 PARTS = 16
 _U = np.uint64
@@ -295,7 +295,7 @@ def _packed(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - KEPT:]).tobytes()
 
 
-def _unpacked(data: bytes) -> np.ndarray:
+def _unpacked(data) -> np.ndarray:
     out = np.zeros((len(data) // KEPT, 8), np.uint8)
     out[:, 8 - KEPT:] = np.frombuffer(data, np.uint8).reshape(-1, KEPT)
     return out.view("<u8").ravel()
@@ -304,8 +304,8 @@ def _unpacked(data: bytes) -> np.ndarray:
 def _linked(batches):
     for batch in batches:
         keep = []
-        for a, b in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
-            a, b = _unpacked(a), _unpacked(b)
+        for a, b in zip(batch.column("set_a"), batch.column("set_b")):
+            a, b = _unpacked(a.as_buffer()), _unpacked(b.as_buffer())
             both = len(np.intersect1d(a, b, assume_unique=True))
             keep.append(100 * both >= 75 * (len(a) + len(b) - both))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
@@ -345,24 +345,39 @@ def _filter(rows) -> np.ndarray:
     return table.view(_U)
 
 
+def _members(block: pa.Array) -> tuple:
+    """Bounds, keys, roots, sizes and brief sketches of the sets of all rows, end to end."""
+    bounds = np.concatenate(([0], np.cumsum(block.value_lengths().to_numpy(zero_copy_only=False))))
+    flat = block.flatten()
+    brief = flat.field("brief")
+    data = np.frombuffer(brief.buffers()[2], np.uint8)[brief.offset * BRIEF:(brief.offset + len(brief)) * BRIEF].reshape(-1, BRIEF)
+    return bounds, *(flat.field(c).to_numpy(zero_copy_only=False) for c in ("key", "root", "n")), data
+
+
 def _across(batches):
     """Pairs of sets of different components, from two blocks of a signature's sets."""
     for batch in batches:
-        for same, left, right in zip(*(batch.column(c).to_pylist() for c in ("same", "left", "right"))):
-            (ka, ra, na), (kb, rb, nb) = [tuple(np.array([m[c] for m in block]) for c in ("key", "root", "n")) for block in (left, right)]
-            sa, sb = (np.frombuffer(b"".join(m["brief"] for m in block), np.uint8).reshape(-1, BRIEF) for block in (left, right))
-            a_out, b_out = [], []
-            for n in range(len(ka)):
-                may = (rb != ra[n]) & (7 * abs(nb - na[n]) <= nb + na[n])
-                if same:
-                    may &= kb > ka[n]
+        if not batch.num_rows:
+            continue
+        same = batch.column("same").to_pylist()
+        la, ka, ra, na, sa = _members(batch.column("left"))
+        lb, kb, rb, nb, sb = _members(batch.column("right"))
+        a_out, b_out = [], []
+        for row in range(batch.num_rows):
+            at_b = slice(lb[row], lb[row + 1])
+            k, r, size, sketch = kb[at_b], rb[at_b], nb[at_b], sb[at_b]
+            for n in range(la[row], la[row + 1]):
+                may = (r != ra[n]) & (7 * abs(size - na[n]) <= size + na[n])
+                if same[row]:
+                    may &= k > ka[n]
                 at = np.flatnonzero(may)
-                at = at[7 * np.bitwise_count(sb[at] ^ sa[n]).sum(1, dtype=np.int64) <= nb[at] + na[n]]
-                a_out.append(np.full(len(at), ka[n]))
-                b_out.append(kb[at])
-            a, b = np.concatenate(a_out), np.concatenate(b_out)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                if len(at):
+                    at = at[7 * np.bitwise_count(sketch[at] ^ sa[n]).sum(1, dtype=np.int64) <= size[at] + na[n]]
+                    a_out.append(np.minimum(k[at], ka[n]))
+                    b_out.append(np.maximum(k[at], ka[n]))
+        if a_out:
+            pairs = np.unique(np.stack([np.concatenate(a_out), np.concatenate(b_out)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, size: int = WORDS) -> DataFrame:
