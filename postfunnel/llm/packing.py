@@ -33,7 +33,7 @@ from postfunnel.llm.common import hash_spans, slices, word_spans, worker_state,
 SLICE = 4 << 20
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words a worker keeps the ids of: those met since the last turn, and as many from before it.
-CACHE = 600_000
+CACHE = 200_000
 JOINED = 256
 
 
