@@ -30,7 +30,7 @@ def annual_usd_max(salary_max: Column, currency: Column, period: Column) -> Colu
     for name, times in vocab.STRUCTURED_PERIODS.items():
         factor = F.when(named == name, times) if factor is None else factor.when(named == name, times)
     dollars = F.coalesce(F.upper(blank_to_null(currency)), F.lit("USD")) == "USD"
-    return F.when(dollars & (salary_max != 0), (salary_max * factor).cast("bigint"))
+    return F.when(dollars & (salary_max != 0), F.try_multiply(salary_max, factor).try_cast("bigint"))
 
 
 def free_text_currency(text: Column) -> Column:
@@ -69,8 +69,8 @@ def is_piecework(text: Column) -> Column:
 
 
 def whole_dollars(amount: Column) -> Column:
-    """Half-even rounding to whole dollars."""
-    return F.rint(amount).cast("bigint")
+    """Half-even rounding to whole dollars; an amount beyond a long is unknown."""
+    return F.rint(amount).try_cast("bigint")
 
 
 def tidy_pay(text: Column) -> Column:

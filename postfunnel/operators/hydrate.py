@@ -4,28 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from postfunnel import vocab
 from postfunnel.functions import adverts
 from postfunnel.functions.text import blank_to_null, excerpt, with_stated_pay
 
 
-def hydrate(rows: DataFrame, details: DataFrame, boards: list[str], cap: int = vocab.HYDRATE_CAP) -> DataFrame:
-    """Swap the teaser for the detail page's text, in arrival order up to a cap.
+def hydrate(rows: DataFrame, details: DataFrame, boards: list[str], cap: int | None = None) -> DataFrame:
+    """Swap the teaser for the detail page's text, of all rows of the boards.
 
-    The cap is the feature (each page is a request); rows beyond it keep their
-    teaser.  ``details`` holds (uid, body).  Only the at most ``cap`` chosen
-    ids and their pages are broadcast.  The funnel is not run again: a row that
+    With a ``cap`` only that many rows, in arrival order, are looked up; the
+    rest keep their teaser.  ``details`` holds (uid, body).  The funnel is not run again: a row that
     passed stays, only its eligibility notes are worked out anew.
     """
-    chosen = (
-        rows.filter(F.col("source").isin(*boards)).orderBy("arrival").limit(cap).select("uid")
-    )
+    chosen = rows.filter(F.col("source").isin(*boards))
+    if cap is not None:
+        chosen = chosen.orderBy("arrival").limit(cap)
+    chosen = chosen.select("uid")
     pages = (
-        details.join(F.broadcast(chosen), "uid", "left_semi")
+        details.join(chosen, "uid", "left_semi")
         .groupBy("uid").agg(F.min(blank_to_null(F.col("body"))).alias("_body"))
         .filter(F.col("_body").isNotNull())
     )
-    found = rows.join(F.broadcast(pages), "uid", "left")
+    found = rows.join(pages, "uid", "left")
     pay = F.col("salary_text") if "salary_text" in rows.columns else F.lit(None).cast("string")
     text = F.when(F.col("_body").isNotNull(), with_stated_pay(pay, F.col("_body")))
     return (

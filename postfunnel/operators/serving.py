@@ -115,12 +115,6 @@ def take_in_windows(serving: DataFrame, pushed: DataFrame) -> DataFrame:
     return serving.join(new.select("source"), "source", "left_anti").unionByName(new)
 
 
-def payload(rows: DataFrame, limit: int) -> DataFrame:
-    """One request carries at most so many rows; the sender cuts its chunks
-    below this, so a larger payload is a sender's fault and is cut off."""
-    return rows.orderBy("place").limit(limit)
-
-
 def apply_triage(jobs: DataFrame, changes: DataFrame) -> DataFrame:
     """The latest valid change of each known uid sets its state.
 

@@ -161,25 +161,23 @@ def explain_rejects(spark, d):
     return funnel.explain_rejects(tagged(spark, d))
 
 
-# Two survivors' boards have detail pages; the cap is the sample's.
-_CAP = 40
+# Two survivors' boards have detail pages.
 _BODY = """CASE WHEN arrival % 2 = 0 THEN CASE WHEN arrival % 9 IN (4, 5) THEN NULL
    WHEN arrival % 9 = 6 THEN 'Part ' || title
    ELSE 'Full ' || title || chr(10) || ' Must be located in ' || source || '.' END END"""
 
 
 @query("s10_hydrate", sql(f"""
-    SELECT uid, body IS NOT NULL AND place <= {_CAP} AS hydrated,
-      CASE WHEN body IS NOT NULL AND place <= {_CAP} THEN 'Stated pay: ' || currency || chr(10) || chr(10) || body
+    SELECT uid, body IS NOT NULL AND chosen AS hydrated,
+      CASE WHEN body IS NOT NULL AND chosen THEN 'Stated pay: ' || currency || chr(10) || chr(10) || body
         ELSE 'About ' || title || '. Must be located in the office.' END AS description,
-      CASE WHEN body IS NULL OR place > {_CAP} THEN 'Must be located in the office.'
+      CASE WHEN body IS NULL OR NOT chosen THEN 'Must be located in the office.'
         WHEN arrival % 9 = 6 THEN '' ELSE 'Must be located in ' || source || '.' END AS notes
     FROM (SELECT uid, title, source, arrival, coalesce(currency, 'none') AS currency, {_BODY} AS body,
-      CASE WHEN source IN ('building', 'machinery')
-        THEN row_number() OVER (PARTITION BY source IN ('building', 'machinery') ORDER BY arrival) ELSE 1e9 END AS place
+      source IN ('building', 'machinery') AS chosen
       FROM survivors)""", "survivors"))
 def hydrated(spark, d):
     details = views.view(spark, d, "details").select("uid", cards.detail_body(F.col("html")).alias("body"))
     rows = survivors(spark, d).withColumn("salary_text", F.coalesce("currency", F.lit("none")))
-    out = hydrate.hydrate(rows, details, ["building", "machinery"], _CAP)
+    out = hydrate.hydrate(rows, details, ["building", "machinery"])
     return out.select("uid", "hydrated", "description", sample.joined("eligibility_notes", " | ").alias("notes"))

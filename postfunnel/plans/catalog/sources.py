@@ -249,20 +249,20 @@ def since_watermark(spark, d):
 _WALK = """
   SELECT *, coalesce(min(fresh) OVER (PARTITION BY source ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)
     AND row_number() OVER (PARTITION BY source ORDER BY page_no) = page_no AS reached
-  FROM (SELECT source, page_no, bool_or(posted >= TIMESTAMP '{since}') AS fresh FROM page_walk WHERE page_no <= 40 GROUP BY ALL)"""
+  FROM (SELECT source, page_no, bool_or(posted >= TIMESTAMP '{since}') AS fresh FROM page_walk {cut} GROUP BY ALL)"""
 
 
 @query("s13_page_walk", sql(f"""
-    SELECT w.uid FROM page_walk w JOIN ({_WALK.format(since='1999-11-11')}) p USING (source, page_no)
+    SELECT w.uid FROM page_walk w JOIN ({_WALK.format(since='1999-11-11', cut='')}) p USING (source, page_no)
     WHERE p.reached AND w.posted >= TIMESTAMP '1999-11-11'""", "page_walk"))
 def page_walk(spark, d):
     since = F.to_timestamp(F.lit("1999-11-11 00:00:00"))
-    return boards.walk(views.view(spark, d, "page_walk"), since, vocab.CARDS_PAGE_CAP).select("uid")
+    return boards.walk(views.view(spark, d, "page_walk"), since).select("uid")
 
 
 @query("s13_walk_ends", sql(f"""
     SELECT source, CAST(max(page_no) AS INT) AS pages, bool_or(page_no = 40 AND fresh) AS hit_page_cap
-    FROM ({_WALK.format(since='1999-05-20')}) WHERE reached GROUP BY source""", "page_walk"))
+    FROM ({_WALK.format(since='1999-05-20', cut='WHERE page_no <= 40')}) WHERE reached GROUP BY source""", "page_walk"))
 def walk_ends(spark, d):
     since = F.to_timestamp(F.lit("1999-05-20 00:00:00"))
     return boards.walk_ends(views.view(spark, d, "page_walk"), since, vocab.CARDS_PAGE_CAP)

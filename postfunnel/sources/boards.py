@@ -54,17 +54,15 @@ def only_source(postings: DataFrame, name: str, known: list[str]) -> DataFrame:
     return postings.filter(F.col("source") == name)
 
 
-def walk(rows: DataFrame, since: Column, page_cap: int) -> DataFrame:
+def walk(rows: DataFrame, since: Column, page_cap: int | None = None) -> DataFrame:
     """Rows a page-by-page read would have reached.
 
     Pages are newest first.  The read takes pages up to and including the first
-    one without a row since the time (or the cap) and keeps the rows since it.
+    one without a row since the time (or a given last page) and keeps the rows since it.
     ``rows`` has (source, page_no from 1, posted).
     """
     reached = _pages(rows, since, page_cap).filter("reached").select("source", "page_no")
-    return rows.filter((F.col("page_no") <= page_cap) & (F.col("posted") >= since)).join(
-        F.broadcast(reached), ["source", "page_no"], "left_semi"
-    )
+    return rows.filter(F.col("posted") >= since).join(reached, ["source", "page_no"], "left_semi")
 
 
 def walk_ends(rows: DataFrame, since: Column, page_cap: int) -> DataFrame:
@@ -76,11 +74,11 @@ def walk_ends(rows: DataFrame, since: Column, page_cap: int) -> DataFrame:
     )
 
 
-def _pages(rows: DataFrame, since: Column, page_cap: int) -> DataFrame:
-    """At most ``page_cap`` rows per board: each page, whether it holds a fresh
+def _pages(rows: DataFrame, since: Column, page_cap: int | None) -> DataFrame:
+    """Each page of each board up to a given last one, whether it holds a fresh
     row, and whether the read gets to it (all pages before it did)."""
     pages = (
-        rows.filter(F.col("page_no") <= page_cap).groupBy("source", "page_no")
+        (rows if page_cap is None else rows.filter(F.col("page_no") <= page_cap)).groupBy("source", "page_no")
         .agg(F.max(F.col("posted") >= since).alias("fresh"))
     )
     before = W.partitionBy("source").orderBy("page_no")

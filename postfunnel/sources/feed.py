@@ -20,7 +20,7 @@ def items_of(pages: DataFrame, *keep: str) -> DataFrame:
 
 
 def _or_null(column):
-    return F.when(column != 0, column.cast("bigint"))
+    return F.when(column != 0, column.try_cast("bigint"))
 
 
 def postings_from(items: DataFrame, board: str = vocab.BOARD_FEED, *keep: str) -> DataFrame:

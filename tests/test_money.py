@@ -75,3 +75,12 @@ def test_unknown_pay_clears_the_inbound_line(spark):
     row = spark.createDataFrame([(None,), (83200,), (83199,)], "a long")
     found = row.select(money.salary_signal(F.col("a"), 40.0), money.clears_inbound(F.col("a"), 40.0)).collect()
     assert [tuple(r) for r in found] == [("unknown", True), ("above", True), ("below", False)]
+
+
+def test_pay_beyond_a_long_is_unknown(spark):
+    from postfunnel.functions import money
+
+    text = spark.createDataFrame([("$99999999999999999999 per month",)], "pay string")
+    assert tuple(money.parse_pay(text, "pay").select("pay_min", "pay_max").first()) == (None, None)
+    huge = spark.createDataFrame([(9 * 10 ** 18, "USD", "hourly")], "top long, currency string, period string")
+    assert huge.select(money.annual_usd_max(F.col("top"), F.col("currency"), F.col("period"))).first()[0] is None
