@@ -4,8 +4,9 @@ Documents are sets of word shingles; equal sets are one node from the start.
 Sets of sizes a <= b are similar enough (intersection at least 3/4 of the union)
 only if they differ in at most (a + b) / 7 shingles and b <= 4 a / 3.  Sizes are
 cut into bands with ends 4/3 apart, so similar sets lie in one band or in two
-next to each other, and every set takes part in its own band's scheme and the
-next one's.
+next to each other, and every set takes part in its own band's scheme and, as a
+guest, in the next one's.  Two guests of a scheme meet in their own band's, so
+a signature that only guests share is dropped.
 
 A scheme for at most k differences deals the whole shingle domain into groups by
 hash and every group into three parts.  Some group holds at most one difference,
@@ -49,7 +50,7 @@ DEALS = 8
 BLOCK = 2048
 SKETCH_BITS = 1024
 #: Bytes of the short sketch that goes where many of them are needed.
-BRIEF = 64
+BRIEF = 128
 #: Bytes of a shingle's hash that are compared: 4000 different shingles meet by chance once in 10**7 pairs.
 KEPT = 6
 FILTER_BITS = 1 << 23
@@ -119,14 +120,14 @@ def _fold(sketch: bytes, size: int) -> bytes:
     return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint8).reshape(-1, size), axis=0).tobytes()
 
 
-def signatures(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All signatures of all sets, and the set of each."""
+def signatures(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All signatures of all sets, the set of each, and whether it is a guest there."""
     sizes = np.diff(bounds)
     if not sizes.any():
-        return np.zeros(0, _U), np.zeros(0, np.int64)
+        return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, bool)
     ends = np.array(bands(int(sizes.max())))
     band = np.searchsorted(ends, sizes)
-    out, owners = [], []
+    out, owners, guest = [], [], []
     for next_band in (0, 1):
         scheme = band + next_band
         end = ends[scheme]
@@ -145,7 +146,8 @@ def signatures(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
         if len(todo):
             out.append(mix(scheme[todo].astype(_U) + _U(0xABCDEF12345)))
             owners.append(todo)
-    return np.concatenate(out), np.concatenate(owners)
+        guest.append(np.full(sum(map(len, out)) - sum(map(len, guest)), next_band == 1))
+    return np.concatenate(out), np.concatenate(owners), np.concatenate(guest)
 
 
 def _deal(sets, bounds, todo, scheme, groups, own_k, deal):
@@ -180,7 +182,10 @@ def _deal(sets, bounds, todo, scheme, groups, own_k, deal):
 
 
 def _pack(sig: np.ndarray, key: np.ndarray, buckets: int):
-    """Rows of a bucket, its sets, how many signatures each has there, and 40 bits of every signature."""
+    """Rows of a bucket, its sets, how many signatures each has there, and 40 bits of every signature.
+
+    The lowest of the 40 tells the guests.
+    """
     bucket = ((sig & _U(0xFFFFFF)) * _U(buckets) >> _U(24)).astype(np.int64)
     order = np.lexsort((key, bucket))
     bucket, key, high = bucket[order], key[order], (sig >> _U(24))[order]
@@ -211,8 +216,8 @@ def _emit(buckets: int, size: int):
                     continue
                 sizes = np.diff(bounds)[new]
                 at = np.repeat(bounds[:-1][new] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-                sig, who = signatures(sets[at], np.r_[0, np.cumsum(sizes)])
-                sigs.append(sig)
+                sig, who, guest = signatures(sets[at], np.r_[0, np.cumsum(sizes)])
+                sigs.append(sig & ~_U(1 << 24) | guest.astype(_U) << _U(24))
                 keys.append(names[new][who])
                 held += len(sig)
                 if held >= FLUSH:
@@ -240,12 +245,16 @@ def _collide(batches):
 
 
 def _groups(sig: np.ndarray, key: np.ndarray):
+    if not len(sig):
+        return
     order = np.argsort(sig)
     sig, key = sig[order], key[order]
-    twin = np.zeros(len(sig), bool)
-    twin[1:] = sig[1:] == sig[:-1]
-    twin[:-1] |= twin[1:]
-    sig, key = sig[twin], key[twin]
+    guest, sig = (sig & _U(1)).astype(bool), sig >> _U(1)
+    start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+    count = np.diff(np.r_[start, len(sig)])
+    # A signature's guests stand behind its other sets.
+    several = np.repeat((count > 1) & ~guest[start], count)
+    sig, key = sig[several], key[several]
     order = np.lexsort((key, sig))
     sig, key = sig[order], key[order]
     fresh = np.ones(len(sig), bool)
