@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from postfunnel.llm.common import written
 
@@ -13,6 +13,20 @@ def _star(both: DataFrame) -> DataFrame:
     return both.join(least, "u")
 
 
+def _pairs(*pairs) -> Column:
+    """Rows (u, v) for each pair of columns, without reading the input again."""
+    return F.inline(F.array(*[F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in pairs]))
+
+
+def _is_forest(edges: DataFrame) -> bool:
+    """Has every number one link down at most, and none of those it leads to another?"""
+    def end(name, up):
+        return F.struct(F.col(name).alias("node"), F.lit(up).alias("up"), F.lit(1 - up).alias("down"))
+
+    ends = edges.select(F.inline(F.array(end("u", 1), end("v", 0))))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 AND up > 0").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and root (the least number of its component) of all numbers in ``links`` (u, v).
 
@@ -21,18 +35,15 @@ def components(links: DataFrame) -> DataFrame:
     of the longest chain.  Each round is a written table, so lost executors
     cost one round.
     """
-    turn = lambda e: e.select(F.col("v").alias("u"), F.col("u").alias("v"))
     edges = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    last = None
-    while True:
-        large = _star(edges.unionByName(turn(edges))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _star(large)
-        edges = written(
-            small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "links")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == last:
-            break
-        last = state
+    while not _is_forest(edges):
+        large = _star(edges.select(_pairs(("u", "v"), ("v", "u")))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _star(large).select(_pairs(("u", "m"), ("v", "m"))).where("u <> v").distinct()
+        edges = written(small, "links")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components that ``links`` (u, v) make of earlier ones, given as node and root."""
+    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links))

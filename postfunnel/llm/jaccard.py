@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from postfunnel.llm.common import mix, partitions, slices, windows, word_hashes, written
-from postfunnel.llm.components import components
+from postfunnel.llm.components import components, joined
 
 WORDS = 5
 DEALS = 8
@@ -425,12 +425,11 @@ def near_duplicates(docs: DataFrame, size: int = WORDS) -> DataFrame:
         return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
     # One comparison for each set, then those that may still connect something.
-    links = written(_compare(written(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs"), docs, size), "links")
-    roots = written(components(links), "roots")
+    first = written(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+    roots = written(components(_compare(first, docs, size)), "roots")
     late = written(rooted(stars, roots), "pairs")
     if not late.isEmpty():
-        links = written(links.unionByName(_compare(late, docs, size)), "links")
-        roots = written(components(links), "roots")
+        roots = written(joined(roots, _compare(late, docs, size)), "roots")
 
     # Signatures whose sets are not all connected yet: pairs across components.
     members = groups.select("name", F.size("members").alias("size"), F.posexplode("members").alias("at", "key"))
@@ -452,7 +451,7 @@ def near_duplicates(docs: DataFrame, size: int = WORDS) -> DataFrame:
     # Pairs of a signature's least set have been compared already.
     late = written(sketched(across.distinct(), "sketch").join(stars, ["a", "b"], "left_anti"), "pairs")
     if not late.isEmpty():
-        roots = written(components(links.unionByName(_compare(late, docs, size))), "roots")
+        roots = written(joined(roots, _compare(late, docs, size)), "roots")
 
     named = sets.select("key", "row").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "row", root.alias("root"))
     class_of = named.join(named.groupBy("root").agg(F.min("row").alias("least")), "root").select("key", "least")
