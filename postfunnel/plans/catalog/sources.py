@@ -172,7 +172,7 @@ def json_ld_postings(spark, d):
     FROM pages WHERE page_id % 6 < 3"""))
 def json_ld_regions(spark, d):
     rows = ld_pages(spark, d).filter(F.col("html").rlike("(?i)jobposting"))
-    return rows.select("page_id", sample.joined(jsonld.job_posting(F.col("html"))["regions"], "|").alias("places"))
+    return jsonld.with_posting(rows).select("page_id", sample.joined("p.regions", "|").alias("places"))
 
 
 @query("f37_json_ld_pay", sql("""
@@ -182,9 +182,9 @@ def json_ld_regions(spark, d):
     FROM pages WHERE page_id % 6 < 3"""))
 def json_ld_pay(spark, d):
     rows = ld_pages(spark, d).filter(F.col("html").rlike("(?i)jobposting"))
-    found = rows.select("page_id", jsonld.job_posting(F.col("html")).alias("_p"))
-    return found.select("page_id", F.col("_p.salary_min").alias("low"), F.col("_p.salary_max").alias("high"),
-                        named(vocab.JSONLD_UNITS, F.col("_p.unit")).alias("period"), "_p.currency")
+    found = jsonld.with_posting(rows)
+    return found.select("page_id", F.col("p.salary_min").alias("low"), F.col("p.salary_max").alias("high"),
+                        named(vocab.JSONLD_UNITS, F.col("p.unit")).alias("period"), "p.currency")
 
 
 def _page_text(x: str) -> str:

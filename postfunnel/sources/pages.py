@@ -23,15 +23,13 @@ def without_challenges(pages: DataFrame) -> DataFrame:
 
 def page_text(html: Column) -> Column:
     """Readable text of a page without its furniture."""
-    body = F.regexp_replace(html, r"(?is)<(script|style|nav|header|footer)[^>]*>.*?</\1>", " ")
-    return strip_html(body)
+    return strip_html(F.regexp_replace(html, vocab.PAGE_FURNITURE, " "))
 
 
 def page_title(html: Column) -> Column:
     """og:title, else the title tag; null where the page has neither."""
-    og = F.regexp_extract(
-        html, r"""(?i)<meta[^>]+property=["']og:title["'][^>]+content=["']([^"']+)""", 1)
-    tag = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
+    og = F.regexp_extract(html, vocab.OG_TITLE, 1)
+    tag = F.regexp_extract(html, vocab.TITLE_TAG, 1)
     return blank_to_null(strip(F.when(og != "", og).otherwise(tag)))
 
 
@@ -61,35 +59,34 @@ def from_plain_pages(pages: DataFrame, now: Column, board: str = vocab.BOARD_MAN
     return from_text(rows, now, title=F.col("_title"), board=board)
 
 
-def _has_block(pages: DataFrame) -> Column:
-    return F.coalesce(pages["html"].rlike(r"(?i)application/ld\+json"), F.lit(False))
-
-
-def _with_posting(pages: DataFrame) -> DataFrame:
-    """Pages that have a JSON-LD block, with the posting found in it.  The
-    others never reach the Python helper."""
-    return pages.filter(_has_block(pages)).select("url", "html", jsonld.job_posting(F.col("html")).alias("p"))
-
-
 def from_json_ld(pages: DataFrame, now: Column, board: str = vocab.BOARD_MANUAL) -> DataFrame:
     """Pages with a JSON-LD job posting; the others are dropped."""
-    return _structured(_with_posting(pages), now, board)
-
-
-def _structured(found: DataFrame, now: Column, board: str) -> DataFrame:
-    text = strip_html(F.col("p.description"))
-    return found.filter(F.col("p.title").isNotNull()).select(
+    # Pages without a block never reach the Python helper.
+    marked = pages.select("url", "html").filter(F.coalesce(jsonld.json_ld_blocks(F.col("html")).isNotNull(), F.lit(False)))
+    return _postings(jsonld.with_posting(marked).filter(F.col("p.title").isNotNull()), now, board)
+
+
+def _postings(pages: DataFrame, now: Column, board: str) -> DataFrame:
+    """Rows (url, html, p) as postings: by the posting ``p`` found in the page,
+    or by the page's own text and title where its fields are null."""
+    structured = F.col("p.title").isNotNull()
+    text = F.when(structured, strip_html(F.col("p.description"))).otherwise(
+        strip(F.coalesce(page_text(F.col("html")), F.lit(""))))
+    rows = pages.withColumn("_text", text)
+    own_title = F.coalesce(page_title(F.col("html")), blank_to_null(first_line(F.col("_text"))))
+    title = F.when(structured, blank_to_null(F.col("p.title"))).otherwise(own_title)
+    return rows.select(
         F.lit(board).alias("source"),
         F.col("url").alias("source_id"),
         row_id(F.lit(board), F.col("url")).alias("uid"),
-        F.coalesce(blank_to_null(F.col("p.title")), F.lit(vocab.UNTITLED)).alias("title"),
-        F.col("p.company").alias("company"),
+        F.coalesce(title, F.lit(vocab.UNTITLED)).alias("title"),
+        F.coalesce("p.company", F.lit("")).alias("company"),
         "url",
         # No date means it was found today, the only honest answer.
         F.coalesce(dates.iso_time(F.col("p.date_posted")), now).alias("posted"),
         dates.iso_time(F.col("p.valid_through")).alias("expires"),
-        text.alias("description"),
-        excerpt(text, 280).alias("excerpt"),
+        F.col("_text").alias("description"),
+        excerpt(F.col("_text"), 280).alias("excerpt"),
         F.col("p.regions").alias("location_restrictions"),
         F.col("p.salary_min").alias("salary_min"),
         F.col("p.salary_max").alias("salary_max"),
@@ -100,11 +97,7 @@ def _structured(found: DataFrame, now: Column, board: str) -> DataFrame:
 
 
 def from_pages(pages: DataFrame, now: Column, board: str = vocab.BOARD_MANUAL) -> DataFrame:
-    """Each page by its structured data, else by its text.  The pages are told
-    apart row by row, so no page is ever shuffled."""
-    readable = without_challenges(pages)
-    found = _with_posting(readable)
-    plain = readable.filter(~_has_block(readable)).select("url", "html").unionByName(
-        found.filter(F.col("p.title").isNull()).drop("p"))
-    return _structured(found, now, board).unionByName(
-        from_plain_pages(plain, now, board), allowMissingColumns=True)
+    """Each page by its structured data, else by its text: one scan, told apart
+    row by row."""
+    readable = without_challenges(pages).select("url", "html")
+    return _postings(jsonld.with_posting(readable), now, board)
