@@ -7,7 +7,9 @@ hosts with blocked pages against them, both as personalised PageRank, and a
 host is blocked when its distrust exceeds ``ratio`` times its trust.
 
 Links are summed per pair of hosts before any join, ranks are whole numbers, so
-sums do not depend on their order.  Every few rounds the ranks are written.
+sums do not depend on their order.  Every few rounds the ranks are written.  The
+walk goes on until verdicts and ranks have settled, however far its links lead;
+ranks below 10**-18 of the whole walk count as that much.
 
 Defined results: a null url, or one without ``://``, has the empty host and
 path, which no rule fits; a host without seeds in reach is allowed.  Relative
@@ -22,7 +24,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from postfunnel.llm.common import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-UNIT = 10 ** 15
+UNIT = 10 ** 18
+#: The part of its own rank by which a settled host may still grow in the last rounds.
+SETTLED = 1e-9
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
 
 Rule = tuple[str, str, str]
@@ -69,10 +73,20 @@ def _share(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return linked.unionByName(alone)
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 24, step: int = 4) -> DataFrame:
-    """host, trust and distrust, in units of 10**-15, of the hosts that either reaches.
+def _units(x: Column) -> Column:
+    """Whole units, rounded up: what reaches a host never rounds to nothing, however far it came."""
+    return F.ceil(x).cast("long")
 
-    ``seeds`` has host, allowed and blocked (numbers of pages).
+
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None, step: int = 4,
+              ratio: float = 1.0) -> DataFrame:
+    """host, trust and distrust, in units of 10**-18, of the hosts that either reaches.
+
+    ``seeds`` has host, allowed and blocked (numbers of pages).  What a host
+    hands to itself is solved for, not walked.  Ranks grow from the seeds' own
+    part and never fall, so the rounds have an end: when in ``step`` rounds no
+    host is new, no verdict changes, and no rank grows by more than ``SETTLED``
+    of itself.  ``rounds`` ends them earlier where a caller gives it.
     """
     turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     share = written(
@@ -82,24 +96,48 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     start = None
     for kind, column, whole in (("trust", "allowed", total[0]), ("distrust", "blocked", total[1])):
         part = seeds.where(F.col(column) > 0).select(
-            F.lit(kind).alias("kind"), "host", F.floor(F.col(column) / F.lit(float(whole or 1)) * F.lit(float(UNIT))).cast("long").alias("rank"))
+            F.lit(kind).alias("kind"), "host", (F.col(column) / F.lit(float(whole or 1)) * F.lit(float(UNIT))).alias("rank"))
         start = part if start is None else start.unionByName(part)
-    start = written(start, "host-seeds")
-    rank, last = start, None
-    for n in range(1, rounds + 1):
-        flow = (rank.join(share.withColumnRenamed("src", "host"), ["kind", "host"])
-                .select("kind", F.col("dst").alias("host"), F.floor(F.col("rank") * F.col("share") * F.lit(damping)).cast("long").alias("rank")))
-        again = start.select("kind", "host", F.floor(F.col("rank") * F.lit(1 - damping)).cast("long").alias("rank"))
-        rank = flow.unionByName(again).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+    kept = share.where("src = dst").select("kind", F.col("src").alias("host"), (1 - F.lit(damping) * F.col("share")).alias("left"))
+    left = F.coalesce("left", F.lit(1.0))
+    start = written(start.join(kept, ["kind", "host"], "left").select(
+        "kind", "host", _units(F.col("rank") * F.lit(1 - damping) / left).alias("rank")), "host-seeds")
+    flows = written(share.where("src <> dst").join(kept.withColumnRenamed("host", "dst"), ["kind", "dst"], "left").select(
+        "kind", F.col("src").alias("host"), "dst", (F.col("share") * F.lit(damping) / left).alias("share")), "host-flows")
+    rank, last, n = start, start, 0
+    while rounds is None or n < rounds:
+        n += 1
+        flow = (rank.join(flows, ["kind", "host"])
+                .select("kind", F.col("dst").alias("host"), _units(F.col("rank") * F.col("share")).alias("rank")))
+        rank = flow.unionByName(start).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         if n % step == 0:
             rank = written(rank, "host-ranks")
-            # Ranks are compared in millionths, so the rounds end once they have settled.
-            state = rank.agg(F.sum(F.xxhash64("kind", "host", F.floor(F.col("rank") / F.lit(float(UNIT // 10 ** 6)) + F.lit(0.5))).cast("decimal(38,0)"))).first()[0]
-            if state == last:
+            if not _moved(last, rank, ratio):
                 break
-            last = state
-    pick = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0))
-    return rank.groupBy("host").agg(pick("trust").alias("trust"), pick("distrust").alias("distrust"))
+            last = rank
+    return _both(rank, "rank").withColumnsRenamed({"rank_trust": "trust", "rank_distrust": "distrust"})
+
+
+def _both(ranks: DataFrame, *columns: str) -> DataFrame:
+    """One row of a host, with trust and distrust of each column."""
+    return ranks.groupBy("host").agg(*(
+        F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(c))), F.lit(0)).alias(f"{c}_{kind}")
+        for c in columns for kind in ("trust", "distrust")))
+
+
+def _blocked(trust: Column, distrust: Column, ratio: float) -> Column:
+    return distrust > trust * F.lit(ratio)
+
+
+def _moved(last: DataFrame, rank: DataFrame, ratio: float) -> bool:
+    """Is a host new, its verdict another, or one of its ranks not settled?"""
+    none = F.lit(0).cast("long")
+    both = _both(last.select("kind", "host", F.col("rank").alias("old"), none.alias("now"))
+                 .unionByName(rank.select("kind", "host", none.alias("old"), F.col("rank").alias("now"))), "old", "now")
+    # A new host grows from nothing, which is more than any part of itself.
+    grows = lambda kind: F.col(f"now_{kind}") - F.col(f"old_{kind}") > F.col(f"now_{kind}") * F.lit(SETTLED)
+    turns = _blocked(F.col("old_trust"), F.col("old_distrust"), ratio) != _blocked(F.col("now_trust"), F.col("now_distrust"), ratio)
+    return not both.where(grows("trust") | grows("distrust") | turns).isEmpty()
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], ratio: float = 1.0) -> DataFrame:
@@ -109,8 +147,8 @@ def judge_urls(pages: DataFrame, rules: list[Rule], ratio: float = 1.0) -> DataF
     judged = parsed.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"))
     seeds = judged.where("host <> ''").groupBy("host").agg(
         F.count(F.when(F.col("by_rule") == "allow", 1)).alias("allowed"), F.count(F.when(F.col("by_rule") == "block", 1)).alias("blocked"))
-    ranks = propagate(written(host_edges(parsed), "host-edges"), written(seeds.where("allowed + blocked > 0"), "host-pages"))
-    by_host = F.when(F.coalesce("distrust", F.lit(0)) > F.coalesce("trust", F.lit(0)) * F.lit(ratio), "block").otherwise("allow")
+    ranks = propagate(written(host_edges(parsed), "host-edges"), written(seeds.where("allowed + blocked > 0"), "host-pages"), ratio=ratio)
+    by_host = F.when(_blocked(F.coalesce("trust", F.lit(0)), F.coalesce("distrust", F.lit(0)), ratio), "block").otherwise("allow")
     return judged.join(ranks, "host", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("by_rule", by_host).alias("verdict"),
         F.coalesce("trust", F.lit(0)).alias("trust"), F.coalesce("distrust", F.lit(0)).alias("distrust"))

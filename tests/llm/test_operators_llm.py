@@ -236,6 +236,25 @@ def test_distrust_goes_against_links_and_trust_along_them(spark):
     assert got == {"bad.com": "block", "farm.net": "block", "good.org": "allow", "linked.net": "allow", "far.net": "allow"}
 
 
+def test_distrust_reaches_hosts_over_many_links(spark):
+    rows = [(n, f"http://h{n}.net/", f'<a href="http://h{n + 1}.net/">') for n in range(40)] + [(40, "http://h40.net/", '<a href="http://bad.com/">'), (41, "http://bad.com/de/", "")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["verdict"] for r in urls.judge_urls(frame, queries.URL_RULES).collect()} == {"block"}
+
+
+def test_ranks_far_below_a_millionth_settle_too(spark):
+    """One ring of four hosts among so many seeds that none of its ranks is a millionth of the walk."""
+    seeds = spark.range(8).select(F.concat(F.lit("s"), "id").alias("host"), F.lit(10 ** 9).alias("allowed"), F.lit(10 ** 9).alias("blocked"))
+    one = spark.createDataFrame([("a", 1, 0), ("d", 0, 1)], "host string, allowed long, blocked long")
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("c", "d", 1), ("d", "a", 1)], "src string, dst string, n long")
+    got = {r["host"]: r for r in urls.propagate(edges, seeds.unionByName(one)).collect()}
+    whole = 8 * 10 ** 9 + 1
+    for far, host in enumerate("abcd"):
+        # Around the ring, with and against the links.
+        assert got[host]["trust"] / urls.UNIT * whole == pytest.approx(0.15 * 0.85 ** far / (1 - 0.85 ** 4), rel=1e-6)
+        assert got[host]["distrust"] / urls.UNIT * whole == pytest.approx(0.15 * 0.85 ** (3 - far) / (1 - 0.85 ** 4), rel=1e-6)
+
+
 def test_page_rank_matches_power_iteration(spark):
     own = random.Random(1)
     edges = [(f"h{own.randrange(12)}", f"h{own.randrange(12)}", own.randrange(1, 5)) for _ in range(40)]
