@@ -33,32 +33,34 @@ def eligibility_sentences(text: Column, limit: int = 4) -> Column:
 
 
 def _alternatives(words: list[str]) -> str:
-    """Phrases as one group; blanks match a short run of white space so that the
-    look-behind stays bounded."""
-    return "|".join(re.escape(w).replace(r"\ ", r"\s{1,8}") for w in words)
+    """Phrases as one group; a blank matches any run of white space."""
+    return "|".join(re.escape(w).replace(r"\ ", r"\s+") for w in words)
 
 
-def _letter_pattern() -> str:
-    """One pattern for a phrase that no negation stands next to.  A cheap look
-    at the phrase comes first, so that the costly look behind is rare."""
-    before = _alternatives(vocab.LETTER_NEG_BEFORE)
-    after = _alternatives(vocab.LETTER_NEG_AFTER)
+def _negated(before: Column, after: Column) -> Column:
+    """Does a negation in the same clause end the text before, or start the text after?"""
     gap = rf"[^.;:!?]{{0,{vocab.LETTER_REACH}}}"
-    kinds, purposes = vocab.LETTER_KINDS, vocab.LETTER_PURPOSES
-    by_kind = rf"(?:{kinds})\s++letters?+"
-    by_purpose = rf"letters?+\s++of\s++(?:{purposes})"
-    # A letter named by its kind is one phrase, so it cannot start at "letter".
-    return (
-        rf"(?iU)(?={by_kind}|{by_purpose})"
-        rf"(?<!\b(?:{before})\b{gap}\n?)"
-        rf"(?:{by_kind}|(?<!(?:{kinds})\s{{1,8}}){by_purpose})"
-        rf"(?!{gap}\b(?:{after})\b)"
-    )
+    return (before.rlike(rf"(?iU)\b(?:{_alternatives(vocab.LETTER_NEG_BEFORE)})\b{gap}\n?\z")
+            | after.rlike(rf"(?iU)^{gap}\b(?:{_alternatives(vocab.LETTER_NEG_AFTER)})\b"))
 
 
 def asks_for_letter(text: Column) -> Column:
     """Does the advert ask for a letter?  A negation in the same clause, on
-    either side of the phrase, cancels it; one phrase left standing is enough."""
-    asked = rf"(?iU)(?:{vocab.LETTER_KINDS})\s+letters?|letters?\s+of\s+(?:{vocab.LETTER_PURPOSES})"
+    either side of the phrase, cancels it; one phrase left standing is enough.
+
+    A negation counts within the window of characters next to the phrase.
+    Windows are cut only from texts that have a phrase.
+    """
+    asked = rf"(?:{vocab.LETTER_KINDS})\s+letters?|letters?\s+of\s+(?:{vocab.LETTER_PURPOSES})"
+    n = vocab.LETTER_WINDOW
+    # The cheap look at the phrase comes first; the window before it is whole, or starts with the text.  Java bounds
+    # a look-behind in units of UTF-16, of which a character may have two: the last branch only widens that bound.
+    before = rf"(\A[\s\S]{{0,{n - 1}}}|[\s\S]{{{n}}})|(?!)[\s\S]{{{2 * n}}}"
+    windows = rf"(?iU)(?={asked})(?<={before})(?:{asked})(?=([\s\S]{{0,{n}}}))"
     body = strip(F.coalesce(text, F.lit("")))
-    return let(body, lambda b: b.rlike(asked) & b.rlike(_letter_pattern()))
+
+    def standing(b: Column) -> Column:
+        before, after = (F.regexp_extract_all(b, F.lit(windows), F.lit(group)) for group in (1, 2))
+        return F.exists(F.arrays_zip(before.alias("before"), after.alias("after")), lambda w: ~_negated(w["before"], w["after"]))
+
+    return let(body, lambda b: F.when(b.rlike("(?iU)" + asked), standing(b)).otherwise(F.lit(False)))

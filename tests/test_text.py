@@ -86,6 +86,22 @@ def test_asks_for_letter(spark, body, asked):
     assert values(spark, [body], adverts.asks_for_letter(F.col("x"))) == [asked]
 
 
+@pytest.mark.parametrize("body, asked", [
+    ("cover letter not" + " " * 9 + "required", False),
+    ("cover letter is" + "\n" * 40 + "not needed", False),
+    ("cover letter is" + " " * 80 + "not needed", True),  # beyond the window of 80 characters
+    ("Portfolio rather" + " " * 9 + "than a cover letter", False),
+    ("Portfolio rather" + " " * 50 + "than a cover letter", False),
+    ("Portfolio rather" + " " * 80 + "than a cover letter", True),
+    ("No cover" + " " * 12 + "letter of application", False),
+    ("\U0001F600" * 90 + " send a cover letter", True),
+    ("no \U0001F600" + "\U0001F600" * 50 + " cover letter", False),
+    ("No cover letter, no cover letter. " + "x" * 100 + " covering letter", True),
+])
+def test_asks_for_letter_with_long_blanks(spark, body, asked):
+    assert values(spark, [body], adverts.asks_for_letter(F.col("x"))) == [asked]
+
+
 def test_eligibility_sentences(spark):
     advert = ("Great job. You MUST be located in Peru! Perks: tea.\nWe   cannot sponsor visas. "
               "you must be located in peru! Only hire locals? Right to work. Residents of X, eligible to work.")
