@@ -14,8 +14,9 @@ so among the three ways to leave one part out there is one where both sets agree
 on the other two: its hash is a signature they share.  Empty projections give no
 signature.  A set for which that could hide every shared signature takes part
 in the scheme again with the domain dealt anew, and after ``DEALS`` times in a
-signature that all such sets share.  So each similar pair of different sets
-shares a signature, without exception.
+signature that all such sets share.  A set so small that only its equals are
+similar has no signature.  So each similar pair of different sets shares a
+signature, without exception.
 
 Sets that share a signature are linked only after their shingles were compared:
 first each set with one least set of a signature of its, then with the least
@@ -136,7 +137,8 @@ def signatures(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
         # Whom this scheme pairs a set with bounds their differences.
         partner = np.minimum(end, sizes * 4 // 3)
         own_k = np.minimum(k, (sizes + partner) // 7)
-        todo = np.flatnonzero(sizes > 0)
+        # Where no difference is allowed only equal sets are similar, and those are one node already.
+        todo = np.flatnonzero(own_k > 0)
         for deal in range(DEALS):
             todo, sig, who = _deal(sets, bounds, todo, scheme, groups, own_k, deal)
             out.append(sig)

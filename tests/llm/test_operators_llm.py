@@ -94,6 +94,14 @@ def test_similar_sets_share_a_signature(seed):
     assert own_band
 
 
+def test_sets_similar_to_their_equals_only_have_no_signature():
+    sets = np.random.default_rng(9).integers(1, 2 ** 63, 40 * (1 + 2 + 3), dtype=np.uint64)
+    sizes = np.repeat([1, 2, 3], 40)
+    _, who, _ = jaccard.signatures(sets, np.r_[0, np.cumsum(sizes)])
+    assert set(who.tolist()) == set(range(80, 120))
+    assert not len(jaccard.signatures(sets, np.arange(len(sets) + 1))[0])
+
+
 def test_sketches_never_hide_a_link():
     own = np.random.default_rng(3)
     a = np.unique(own.integers(1, 2 ** 63, 3000, dtype=np.uint64))
