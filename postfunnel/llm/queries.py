@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from postfunnel.llm import chat, decontaminate, jaccard, lines, lm, packing, shards, topk, toxicity, urls
+from postfunnel.llm import chat, decontaminate, jaccard, lines, lm, packing, periods, shards, topk, toxicity, urls
 from postfunnel.llm.catalog import query
 from postfunnel.llm.common import table
 
@@ -109,3 +109,32 @@ def ngram_jaccard_join(spark, d):
     SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""")
 def exact_topk_search(spark, d):
     return topk.top_k(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def with_planted_runs(docs):
+    """doc_id and text; of each tenth row the words from a place on repeat the first ones from there."""
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)
+    n = F.size("words")
+    rows = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    rows = rows.withColumn("words", F.when(F.col("h") % 10 == 0, words))
+    g = F.floor(F.col("h") / 10)
+    rows = rows.withColumn("a", F.when(n > 0, (g % n).cast("int")))
+    rows = rows.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    turns = F.ceil((n - F.col("a")) / F.col("p")).cast("int")
+    cycle = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), turns))
+    told = F.array_join(F.slice(F.concat(F.slice("words", F.lit(1), F.col("a")), cycle), F.lit(1), n), " ")
+    return rows.select("doc_id", F.when(n > 0, told).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_run_detection")
+def periodic_run_detection(spark, d):
+    found = periods.find_runs(with_planted_runs(table(spark, d, "documents")))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    # a / b > c / d as a d > c b: exact whole numbers.
+    best = F.reduce("runs", F.get("runs", F.lit(0)), lambda m, r: F.when(r["length"] * m["period"] > m["length"] * r["period"], r).otherwise(m))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
