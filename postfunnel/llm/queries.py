@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from postfunnel.llm import chat, decontaminate, jaccard, lines, lm, packing, periods, shards, topk, toxicity, urls
+from postfunnel.llm import align, chat, decontaminate, jaccard, lines, lm, packing, periods, shards, topk, toxicity, urls
 from postfunnel.llm.catalog import query
-from postfunnel.llm.common import table
+from postfunnel.llm.common import table, written
 
 TOXIC_AT = 0.7
 SHARDS = 40
@@ -138,3 +138,17 @@ def periodic_run_detection(spark, d):
         F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
         F.sha2(F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def tokenizers() -> align.Tokenizers:
+    """The public vocabularies of the alignment contract."""
+    import public_tokenizers
+
+    return align.Tokenizers(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op11_cross_tokenizer_alignment")
+def cross_tokenizer_alignment(spark, d):
+    aligned = align.align(table(spark, d, "documents"), tokenizers())
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    return align.score_links(written(aligned.withColumn("groups_sha256", digest).drop("groups"), "aligned"))
