@@ -479,3 +479,10 @@ def keep_first(docs: DataFrame, size: int = WORDS) -> DataFrame:
         kept = (kept.join(twice, ["doc_id", _HASH], "left_anti")
                 .unionByName(kept.join(twice, ["doc_id", _HASH], "left_semi").dropDuplicates(["doc_id", _HASH])))
     return kept.select(docs.columns)
+
+
+def keyed_sets(size: int):
+    def sets_of(texts):
+        sets, bounds = shingle_sets(texts, size)
+        return sets, bounds, set_keys(sets, bounds)
+    return sets_of

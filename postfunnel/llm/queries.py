@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from postfunnel.llm import align, chat, decontaminate, jaccard, lines, lm, packing, periods, shards, topk, toxicity, urls
+from postfunnel.llm import align, chat, decontaminate, hyperminhash, jaccard, lines, lm, packing, periods, shards, topk, toxicity, urls
 from postfunnel.llm.catalog import query
 from postfunnel.llm.common import table, written
 
@@ -152,3 +152,9 @@ def cross_tokenizer_alignment(spark, d):
     aligned = align.align(table(spark, d, "documents"), tokenizers())
     digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
     return align.score_links(written(aligned.withColumn("groups_sha256", digest).drop("groups"), "aligned"))
+
+
+@query("op13_minhash_near_dedup")
+def minhash_near_dedup(spark, d):
+    found = hyperminhash.near_duplicates(table(spark, d, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

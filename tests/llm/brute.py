@@ -20,8 +20,8 @@ def shingles(text, size=5):
     return {tuple(w[i:i + size]) for i in range(len(w) - size + 1)}
 
 
-def components(rows, size=5):
-    """{row number: (n_shingles, component_id)} of (doc_id, text) rows; no prefix, no hashing."""
+def components(rows, size=5, percent=75):
+    """(doc_id, n_shingles, component_id) of (doc_id, text) rows; no prefix, no hashing."""
     sets = [shingles(t, size) for _, t in rows]
     where = defaultdict(list)
     for n, s in enumerate(sets):
@@ -42,7 +42,7 @@ def components(rows, size=5):
                 if m < n:
                     common[m] += 1
         for m, c in common.items():
-            if rows[n][0] is not None and rows[m][0] is not None and 100 * c >= 75 * (len(s) + len(sets[m]) - c):
+            if rows[n][0] is not None and rows[m][0] is not None and 100 * c >= percent * (len(s) + len(sets[m]) - c):
                 parent[find(n)] = find(m)
     least = {}
     for n, (doc_id, _) in enumerate(rows):
