@@ -34,9 +34,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from postfunnel.llm import meet
 from postfunnel.llm.common import mix, slices, written
 from postfunnel.llm.jaccard import keyed_sets
+from postfunnel.llm.meet import PACKED, Packer, Similar, buckets_for, classes, groups_of, known_sets, settle
 
 WORDS = 2
 PERCENT = 80
@@ -166,15 +166,20 @@ def _may_pair(n_a, left, n_b, right):
     return fit & _may(n_a, _rows(n_a, left, common), n_b, _rows(n_b, right, common))
 
 
-def _matrix(sizes, sketches, largest):
-    return _rows(sizes, sketches, np.full(len(sizes), set_class(np.array([largest]))[0]))
+def _matrix(sizes, sketches, common):
+    return _rows(sizes, sketches, np.full(len(sizes), common))
+
+
+def _common(sizes, sketches):
+    """The class of the largest set is the one that all sets of a group have registers in."""
+    return set_class(np.array([max(sizes)]))[0]
 
 
 def _may_row(n, row, others, rows):
     return _may(float(n), row[None, :], others.astype(np.float64), rows)
 
 
-SIMILAR = meet.Similar(PERCENT, (("sketch", _may_pair),), "sketch", _matrix, _may_row)
+SIMILAR = Similar(PERCENT, (("sketch", _may_pair),), "sketch", _common, _matrix, _may_row)
 
 
 def _sketches(size: int):
@@ -192,7 +197,7 @@ def _sketches(size: int):
 
 def _emit(buckets: int):
     def run(batches):
-        seen, packer = set(), meet.Packer(buckets)
+        seen, packer = set(), Packer(buckets)
         for batch in batches:
             keys = batch.column("key").to_numpy()
             new = [n for n, key in enumerate(keys.tolist()) if key not in seen and not seen.add(key)]  # copies within a task are one set
@@ -215,8 +220,8 @@ def near_duplicates(docs: DataFrame, size: int = WORDS) -> DataFrame:
     nodes = written(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
         _sketches(size), "doc_id long, text_hash long, n_shingles long, key long, sketch binary"), "register-sketches")
     # At most a set's bands in its own class and as a guest.
-    buckets = meet.buckets(docs.sparkSession, 2 * BANDS * nodes.count())
+    buckets = buckets_for(docs.sparkSession, 2 * BANDS * nodes.count())
     able = nodes.where(f"doc_id IS NOT NULL AND n_shingles >= {LEAST}").select("n_shingles", "key", "sketch")
-    groups = meet.groups_of(able.mapInArrow(_emit(buckets), meet.PACKED), buckets)
-    known = meet.known_sets(nodes, groups, "sketch")
-    return meet.classes(nodes, meet.settle(groups, known, docs, keyed_sets(size), SIMILAR))
+    groups = groups_of(able.mapInArrow(_emit(buckets), PACKED), buckets)
+    known = known_sets(nodes, groups, "sketch")
+    return classes(nodes, settle(groups, known, docs, keyed_sets(size), SIMILAR))

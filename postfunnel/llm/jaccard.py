@@ -18,17 +18,10 @@ signature that all such sets share.  A set so small that only its equals are
 similar has no signature.  So each similar pair of different sets shares a
 signature, without exception.
 
-Sets that share a signature are linked only after their shingles were compared:
-first each set with one least set of a signature of its, then with the least
-ones of its others, then, where a signature's sets are not all connected by
-that, the remaining pairs; always only pairs across components.  A
-bit sketch, whose differing bits never exceed the differing shingles, spares
-most of the comparisons that fail.
-
-Signatures travel packed by bucket.  A group of copies is one set per task, a
-signature that many sets share is handled in blocks of ``BLOCK`` sets, and the
-set of nodes to be compared reaches the tasks as a filter of fixed size, which
-only lets through more than needed when it fills up.
+Sets that share a signature are linked only after their shingles were compared,
+and only pairs across components are (``py``).  A bit sketch, whose
+differing bits never exceed the differing shingles, spares most of the
+comparisons that fail.
 
 Shingles are compared as 64-bit hashes.  Defined results: without words, or
 with a null text, the set is empty and linked with nothing.  Rows without
@@ -37,27 +30,19 @@ doc_id get n_shingles and no component.  Equal rows get equal results.
 
 from __future__ import annotations
 
-import collections
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from postfunnel.llm.common import mix, partitions, slices, windows, word_hashes, written
-from postfunnel.llm.components import components, joined
+from postfunnel.llm.common import mix, slices, windows, word_hashes, written
+from postfunnel.llm.meet import PACKED, Packer, Similar, buckets_for, classes, groups_of, known_sets, settle, sums
 
 WORDS = 5
+PERCENT = 75
 DEALS = 8
-BLOCK = 2048
 SKETCH_BITS = 1024
 #: Bytes of the short sketch that goes where many of them are needed.
 BRIEF = 128
-#: Bytes of a shingle's hash that are compared: 4000 different shingles meet by chance once in 10**7 pairs.
-KEPT = 6
-FILTER_BITS = 1 << 23
-FLUSH = 500_000
-#: A bucket's signatures are sorted in so many parts; its highest of 40 bits tell them apart.
-PARTS = 16
 _U = np.uint64
 _HASH = "_near_text_hash"
 
@@ -83,14 +68,9 @@ def shingle_sets(texts: pa.Array, size: int = WORDS) -> tuple[np.ndarray, np.nda
     return runs, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
-def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    total = np.concatenate((np.zeros(1, _U), np.cumsum(values, dtype=_U)))
-    return total[bounds[1:]] - total[bounds[:-1]]
-
-
 def set_keys(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """One number for each set (as signed, for Spark); sets are equal when it is."""
-    return mix(_sums(mix(sets ^ _U(0x5851F42D4C957F2D)), bounds) + np.diff(bounds).astype(_U)).view(np.int64)
+    return mix(sums(mix(sets ^ _U(0x5851F42D4C957F2D)), bounds) + np.diff(bounds).astype(_U)).view(np.int64)
 
 
 def sketches(sets: np.ndarray, bounds: np.ndarray) -> list[bytes]:
@@ -183,28 +163,9 @@ def _deal(sets, bounds, todo, scheme, groups, own_k, deal):
     return again, np.concatenate(sig), np.concatenate(who)
 
 
-def _pack(sig: np.ndarray, key: np.ndarray, buckets: int):
-    """Rows of a bucket, its sets, how many signatures each has there, and 40 bits of every signature.
-
-    The lowest of the 40 tells the guests.
-    """
-    bucket = ((sig & _U(0xFFFFFF)) * _U(buckets) >> _U(24)).astype(np.int64)
-    order = np.lexsort((key, bucket))
-    bucket, key, high = bucket[order], key[order], (sig >> _U(24))[order]
-    run = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (key[1:] != key[:-1])])
-    count = np.diff(np.r_[run, len(key)]).astype("<u4")
-    edge = np.searchsorted(bucket, np.arange(buckets + 1))
-    of_run = np.searchsorted(run, edge)
-    rows = [(b, key[run[of_run[b]:of_run[b + 1]]].tobytes(), count[of_run[b]:of_run[b + 1]].tobytes(),
-             (high[edge[b]:edge[b + 1]] & _U(0xFFFFFFFF)).astype("<u4").tobytes(), (high[edge[b]:edge[b + 1]] >> _U(32)).astype(np.uint8).tobytes())
-            for b in range(buckets) if edge[b] < edge[b + 1]]
-    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["bucket", "keys", "counts", "low", "high"])
-
-
 def _emit(buckets: int, size: int):
     def run(batches):
-        seen, sigs, keys, held = set(), [], [], 0
+        seen, packer = set(), Packer(buckets)
         for batch in batches:
             for part in slices(batch, "text"):
                 sets, bounds = shingle_sets(part.column("text"), size)
@@ -219,64 +180,11 @@ def _emit(buckets: int, size: int):
                 sizes = np.diff(bounds)[new]
                 at = np.repeat(bounds[:-1][new] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
                 sig, who, guest = signatures(sets[at], np.r_[0, np.cumsum(sizes)])
-                sigs.append(sig & ~_U(1 << 24) | guest.astype(_U) << _U(24))
-                keys.append(names[new][who])
-                held += len(sig)
-                if held >= FLUSH:
-                    yield _pack(np.concatenate(sigs), np.concatenate(keys), buckets)
-                    sigs, keys, held = [], [], 0
-        if held:
-            yield _pack(np.concatenate(sigs), np.concatenate(keys), buckets)
+                yield from packer.add(sig, names[new][who], guest)
+        yield from packer.flush()
     return run
 
 
-def _collide(batches):
-    """The different sets of sets that share a signature, bucket by bucket."""
-    rows = collections.defaultdict(list)
-    for batch in batches:
-        for bucket, *row in zip(*(c.to_pylist() for c in batch.columns)):
-            rows[bucket].append(row)
-    while rows:
-        own = rows.popitem()[1]
-        sig = np.concatenate([np.frombuffer(low, "<u4").astype(_U) | np.frombuffer(high, np.uint8).astype(_U) << _U(32) for _, _, low, high in own])
-        key = np.concatenate([np.repeat(np.frombuffer(keys, np.int64), np.frombuffer(counts, "<u4")) for keys, counts, _, _ in own])
-        del own
-        for part in range(PARTS):
-            at = np.flatnonzero(sig >> _U(36) == _U(part))
-            yield from _groups(sig[at], key[at])
-
-
-def _groups(sig: np.ndarray, key: np.ndarray):
-    if not len(sig):
-        return
-    order = np.argsort(sig)
-    sig, key = sig[order], key[order]
-    guest, sig = (sig & _U(1)).astype(bool), sig >> _U(1)
-    start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-    count = np.diff(np.r_[start, len(sig)])
-    # A signature's guests stand behind its other sets.
-    several = np.repeat((count > 1) & ~guest[start], count)
-    sig, key = sig[several], key[several]
-    order = np.lexsort((key, sig))
-    sig, key = sig[order], key[order]
-    fresh = np.ones(len(sig), bool)
-    fresh[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
-    sig, key = sig[fresh], key[fresh]
-    if not len(sig):
-        return
-    start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-    stop = np.r_[start[1:], len(sig)]
-    name = mix(_sums(mix(key.view(_U)), np.r_[start, len(sig)]) + (stop - start).astype(_U))
-    several = np.flatnonzero(stop - start > 1)
-    _, pick = np.unique(name[several], return_index=True)
-    several = several[pick]
-    for n in range(0, len(several), 2000):
-        part = several[n:n + 2000]
-        yield pa.RecordBatch.from_pydict({
-            "name": pa.array(name[part].view(np.int64)),
-            "members": pa.array([key[start[g]:stop[g]] for g in part], pa.list_(pa.int64()))})
-
-
 def _sets(size: int):
     def run(batches):
         for batch in batches:
@@ -289,106 +197,32 @@ def _sets(size: int):
     return run
 
 
-def _similar_sketch(batches):
-    """The pairs whose sketches allow enough common shingles."""
-    for batch in batches:
-        frame = {n: batch.column(n) for n in batch.schema.names}
-        if not batch.num_rows:
-            continue
-        apart = bits_apart(frame["sketch_a"].to_pylist(), frame["sketch_b"].to_pylist())
-        n_a, n_b = frame["n_a"].to_numpy(), frame["n_b"].to_numpy()
-        keep = 7 * np.maximum(apart, abs(n_a - n_b)) <= n_a + n_b
-        yield pa.RecordBatch.from_arrays([frame["a"], frame["b"]], ["a", "b"]).filter(pa.array(keep))
+def _may_pair(n_a, left, n_b, right):
+    """Do the sketches allow enough common shingles?"""
+    return 7 * np.maximum(bits_apart(left, right), abs(n_a - n_b)) <= n_a + n_b
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """The highest bytes of 64-bit hashes."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - KEPT:]).tobytes()
+def _may_row(n, row, others, rows):
+    return 7 * np.bitwise_count(rows ^ row).sum(1, dtype=np.int64) <= others + n
 
 
-def _unpacked(data) -> np.ndarray:
-    out = np.zeros((len(data) // KEPT, 8), np.uint8)
-    out[:, 8 - KEPT:] = np.frombuffer(data, np.uint8).reshape(-1, KEPT)
-    return out.view("<u8").ravel()
+def _matrix(sizes, sketches, width):
+    return np.frombuffer(b"".join([_fold(x, width) for x in sketches]), np.uint8).reshape(-1, width)
 
 
-def _linked(batches):
-    for batch in batches:
-        keep = []
-        for a, b in zip(batch.column("set_a"), batch.column("set_b")):
-            a, b = _unpacked(a.as_buffer()), _unpacked(b.as_buffer())
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(100 * both >= 75 * (len(a) + len(b) - both))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+def _width(sizes, sketches):
+    """The sketches of a group are folded to the shortest one's length."""
+    return min(map(len, sketches))
 
 
-def _compare(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """The pairs (a, b) of keys whose sets are similar, as links (u, v)."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key"))
-    bit = F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1))
-    # At most FILTER_BITS / 64 rows, whatever the number of keys.
-    marks = wanted.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("bits"))
-    mask = docs.sparkSession.sparkContext.broadcast(_filter(marks.collect()))
+SIMILAR = Similar(PERCENT, (("brief", _may_pair), ("sketch", _may_pair)), "sketch", _width, _matrix, _may_row)
 
-    def run(batches):
-        table, seen = mask.value, set()
-        for batch in batches:
-            for part in slices(batch, "text"):
-                sets, bounds = shingle_sets(part.column("text"), size)
-                keys = set_keys(sets, bounds)
-                at = keys & (FILTER_BITS - 1)
-                some = np.flatnonzero(table[at >> 6] >> (at & 63).astype(_U) & _U(1)).tolist()
-                some = [n for n in some if keys[n] not in seen and not seen.add(keys[n])]
-                if some:
-                    yield pa.RecordBatch.from_pydict({
-                        "key": pa.array(keys[some]), "set": pa.array([_packed(sets[bounds[n]:bounds[n + 1]]) for n in some], pa.binary())})
-
-    blobs = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(run, "key long, set binary")
-    blobs = written(blobs, "sets").groupBy("key").agg(F.first("set").alias("set"))
-    sides = [blobs.select(F.col("key").alias(s), F.col("set").alias(f"set_{s}")) for s in ("a", "b")]
-    return pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", "set_a", "set_b").mapInArrow(_linked, "u long, v long")
-
-
-def _filter(rows) -> np.ndarray:
-    table = np.zeros(FILTER_BITS // 64, np.int64)
-    for at, bits in rows:
-        table[at] = bits
-    return table.view(_U)
-
-
-def _members(block: pa.Array) -> tuple:
-    """Bounds, keys, roots, sizes and brief sketches of the sets of all rows, end to end."""
-    bounds = np.concatenate(([0], np.cumsum(block.value_lengths().to_numpy(zero_copy_only=False))))
-    flat = block.flatten()
-    brief = flat.field("brief")
-    data = np.frombuffer(brief.buffers()[2], np.uint8)[brief.offset * BRIEF:(brief.offset + len(brief)) * BRIEF].reshape(-1, BRIEF)
-    return bounds, *(flat.field(c).to_numpy(zero_copy_only=False) for c in ("key", "root", "n")), data
-
-
-def _across(batches):
-    """Pairs of sets of different components, from two blocks of a signature's sets."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        same = batch.column("same").to_pylist()
-        la, ka, ra, na, sa = _members(batch.column("left"))
-        lb, kb, rb, nb, sb = _members(batch.column("right"))
-        a_out, b_out = [], []
-        for row in range(batch.num_rows):
-            at_b = slice(lb[row], lb[row + 1])
-            k, r, size, sketch = kb[at_b], rb[at_b], nb[at_b], sb[at_b]
-            for n in range(la[row], la[row + 1]):
-                may = (r != ra[n]) & (7 * abs(size - na[n]) <= size + na[n])
-                if same[row]:
-                    may &= k > ka[n]
-                at = np.flatnonzero(may)
-                if len(at):
-                    at = at[7 * np.bitwise_count(sketch[at] ^ sa[n]).sum(1, dtype=np.int64) <= size[at] + na[n]]
-                    a_out.append(np.minimum(k[at], ka[n]))
-                    b_out.append(np.maximum(k[at], ka[n]))
-        if a_out:
-            pairs = np.unique(np.stack([np.concatenate(a_out), np.concatenate(b_out)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+def keyed_sets(size: int):
+    def sets_of(texts):
+        sets, bounds = shingle_sets(texts, size)
+        return sets, bounds, set_keys(sets, bounds)
+    return sets_of
 
 
 def near_duplicates(docs: DataFrame, size: int = WORDS) -> DataFrame:
@@ -398,71 +232,15 @@ def near_duplicates(docs: DataFrame, size: int = WORDS) -> DataFrame:
     for its component, the least by doc_id and text_hash (equal rows alike).
     """
     docs = docs.select("doc_id", "text")
-    buckets = partitions(docs.sparkSession)
     nodes = written(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
         _sets(size), "doc_id long, text_hash long, n_shingles long, key long, sketch binary, brief binary"), "shingle-sets")
-    packed = docs.where("doc_id IS NOT NULL").mapInArrow(_emit(buckets, size), "bucket int, keys binary, counts binary, low binary, high binary")
-    groups = packed.repartition(partitions(docs.sparkSession), "bucket").mapInArrow(_collide, "name long, members array<long>")
-    groups = written(groups.dropDuplicates(["name"]), "signature-groups")
-
-    sets = (nodes.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key")
-            .agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("brief").alias("brief")))
-    known = sets.join(groups.select(F.explode("members").alias("key")).distinct(), "key", "left_semi")
-    known = written(known, "candidate-sets")
-
-    def sketched(pairs, kind):
-        for s in ("a", "b"):
-            pairs = pairs.join(known.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col(kind).alias(f"sketch_{s}")), s)
-        return pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_similar_sketch, "a long, b long")
-
-    # Members are sorted: the first is the least.
-    stars = groups.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", 2, F.greatest(F.size("members"), F.lit(1)))).alias("b")).distinct()
-    stars = written(sketched(sketched(stars, "brief"), "sketch"), "pairs")
-    root = F.coalesce("root", "key")
-
-    def rooted(pairs, roots):
-        """The pairs whose sets are of different components so far."""
-        for s in ("a", "b"):
-            pairs = pairs.join(roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}")), s, "left")
-        return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-
-    # One comparison for each set, then those that may still connect something.
-    first = written(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
-    roots = written(components(_compare(first, docs, size)), "roots")
-    late = written(rooted(stars, roots), "pairs")
-    if not late.isEmpty():
-        roots = written(joined(roots, _compare(late, docs, size)), "roots")
-
-    # Signatures whose sets are not all connected yet: pairs across components.
-    members = groups.select("name", F.size("members").alias("size"), F.posexplode("members").alias("at", "key"))
-    members = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("name", "size", "at", "key", root.alias("root"))
-    open_names = members.groupBy("name").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("name")
-    blocks = (
-        members.join(open_names, "name", "left_semi").join(known.select("key", "n", "brief"), "key")
-        .groupBy("name", "size", F.floor(F.col("at") / BLOCK).alias("block"))
-        .agg(F.collect_list(F.struct("key", "root", "n", "brief")).alias("sets"))
-    )
-    alone = blocks.where(F.col("size") <= BLOCK).select(F.lit(True).alias("same"), F.col("sets").alias("left"), F.col("sets").alias("right"))
-    across = alone.mapInArrow(_across, "a long, b long")
-    if not groups.where(F.size("members") > BLOCK).isEmpty():
-        parts = written(blocks.where(F.col("size") > BLOCK), "open-groups")
-        left = parts.select("name", F.col("block").alias("x"), F.col("sets").alias("left"))
-        right = parts.select("name", F.col("block").alias("y"), F.col("sets").alias("right"))
-        across = across.unionByName(
-            left.join(right, "name").where("x <= y").select((F.col("x") == F.col("y")).alias("same"), "left", "right").mapInArrow(_across, "a long, b long"))
-    # Pairs of a signature's least set have been compared already.
-    late = written(sketched(across.distinct(), "sketch").join(stars, ["a", "b"], "left_anti"), "pairs")
-    if not late.isEmpty():
-        roots = written(joined(roots, _compare(late, docs, size)), "roots")
-
-    named = sets.select("key", "row").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "row", root.alias("root"))
-    class_of = named.join(named.groupBy("root").agg(F.min("row").alias("least")), "root").select("key", "least")
-    own = F.struct("doc_id", "text_hash")
-    return (
-        nodes.select("doc_id", "text_hash", "n_shingles", "key").join(class_of, "key", "left")
-        .withColumn("least", F.coalesce("least", own))
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("least.doc_id")).alias("component_id"),
-                "text_hash", (F.col("doc_id").isNull() | (own == F.col("least"))).alias("is_first")))
+    # A set has about as many signatures as shingles, and a few more.
+    rows, total = nodes.agg(F.count("*"), F.sum("n_shingles")).first()
+    buckets = buckets_for(docs.sparkSession, (total or 0) + 20 * rows)
+    groups = groups_of(docs.where("doc_id IS NOT NULL").mapInArrow(_emit(buckets, size), PACKED), buckets)
+    known = known_sets(nodes, groups, "sketch", "brief")
+    roots = settle(groups, known, docs, keyed_sets(size), SIMILAR)
+    return classes(nodes, roots)
 
 
 def keep_first(docs: DataFrame, size: int = WORDS) -> DataFrame:
@@ -479,10 +257,3 @@ def keep_first(docs: DataFrame, size: int = WORDS) -> DataFrame:
         kept = (kept.join(twice, ["doc_id", _HASH], "left_anti")
                 .unionByName(kept.join(twice, ["doc_id", _HASH], "left_semi").dropDuplicates(["doc_id", _HASH])))
     return kept.select(docs.columns)
-
-
-def keyed_sets(size: int):
-    def sets_of(texts):
-        sets, bounds = shingle_sets(texts, size)
-        return sets, bounds, set_keys(sets, bounds)
-    return sets_of

@@ -8,10 +8,11 @@ are of different components so far:
 
 1. every set is compared with one least set of a group of its,
 2. then with the least sets of its other groups,
-3. then the groups that still hold several components are taken apart: blocks of
-   sets are held against each other by their sketches, which leaves the sets
-   that may have a partner; these come with all their shingles, and a block's
-   task hands on only links that join two of its components.
+3. then the groups that still hold several components are taken apart, those
+   with the same least set together: blocks of sets are held against each other
+   by their sketches, which leaves the sets that may have a partner; these come
+   with all their shingles, and a block's task hands on only links that join two
+   of its components.
 
 So a step hands on as many rows as there are sets in the groups, or in pairs of
 blocks of a large one, never all pairs of similar sets.  Sketches must never
@@ -54,13 +55,16 @@ class Similar(NamedTuple):
     """What similar means, and the sketches that spare comparisons.
 
     ``pairs`` are tests (column of the sketches, function of sizes and sketches
-    of both sides) for pairs, the cheapest first.  ``matrix`` makes rows of the
-    sketches of a block, ``may`` tells which rows may be similar to one.
+    of both sides) for pairs, the cheapest first.  For two blocks of sets,
+    ``common`` finds (from sizes and sketches) in what form their sketches can be
+    compared, ``matrix`` makes rows of that form, and ``may`` tells which rows may
+    be similar to one.
     """
 
     percent: int
     pairs: tuple[tuple[str, Callable], ...]
     sketch: str
+    common: Callable
     matrix: Callable
     may: Callable
 
@@ -75,7 +79,7 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def buckets(spark: SparkSession, signatures: int) -> int:
+def buckets_for(spark: SparkSession, signatures: int) -> int:
     """How many buckets so many signatures need."""
     return max(partitions(spark), -(-signatures * SIGNATURE_BYTES // BUCKET_BYTES))
 
@@ -278,8 +282,8 @@ def _candidates(similar: Similar):
                 same = batch.column("same")[row].as_py()
                 left = _block(batch.column("left"), row)
                 right = left if same else _block(batch.column("right"), row)
-                largest = max(left[2].max(), right[2].max())
-                a_rows, b_rows = (similar.matrix(n, data, largest) for _, _, n, data in (left, right))
+                form = similar.common([*left[2], *right[2]], left[3] + right[3])
+                a_rows, b_rows = (similar.matrix(n, data, form) for _, _, n, data in (left, right))
                 a_out, b_out = np.zeros(len(left[0]), bool), np.zeros(len(right[0]), bool)
                 for n, (root, size) in enumerate(zip(left[1], left[2])):
                     start = n + 1 if same else 0
@@ -340,15 +344,26 @@ def _links(similar: Similar, left, right, same: bool):
             yield left[0][n], right[0][m]
 
 
+def _gathered(members: DataFrame) -> DataFrame:
+    """The members (name, key) of groups that have the same least member, as one group; a set that shares
+    signatures with another in many groups comes once for all of them."""
+    least = members.groupBy("name").agg(F.min("key").alias("to"))
+    return members.join(least, "name").drop("name").withColumnRenamed("to", "name").distinct()
+
+
 def _blocked(members: DataFrame, data: DataFrame) -> DataFrame:
     """Pairs of blocks of a group's sets, as name, same, left and right.
 
-    ``members`` has name, block, key and root, ``data`` has key, n and data.  The
-    pairs of a group grow with the square of its blocks, not of its sets.
+    ``members`` has name, key and root, ``data`` has key, n and data.  A group is
+    dealt to as many blocks as its sets and their bytes need; the pairs of a group
+    grow with the square of its blocks, not of its sets.
     """
-    blocks = members.join(data, "key").groupBy("name", "block").agg(F.collect_list(F.struct("key", "root", "n", "data")).alias("sets"))
+    rows = members.join(data, "key")
+    need = F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("data")) / BLOCK_BYTES)
+    several = written(rows.groupBy("name").agg(F.ceil(need).alias("parts")).where("parts > 1"), "large-groups")
+    block = F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1)))
+    blocks = rows.join(several, "name", "left").groupBy("name", block.alias("block")).agg(F.collect_list(F.struct("key", "root", "n", "data")).alias("sets"))
     blocks = written(blocks, "blocks")
-    several = blocks.groupBy("name").count().where("count > 1")
     # A block held against itself needs one side only.
     pairs = blocks.select("name", F.lit(True).alias("same"), F.col("sets").alias("left"), F.slice("sets", 1, 1).alias("right"))
     if several.isEmpty():
@@ -377,28 +392,19 @@ def settle(groups: DataFrame, known: DataFrame, docs: DataFrame, sets_of: Callab
         roots = written(joined(roots, compare(late, docs, sets_of, similar.percent)), "roots")
 
     # Groups whose sets are not all connected yet; the least set of each has been compared with all others.
-    members = groups.where("size > 2").select("name", "least", "at", F.posexplode("keys").alias("place", "key")).where("key <> least")
-    members = members.join(roots.withColumnRenamed("node", "key"), "key", "left")
-    members = members.select("name", "key", (F.col("at") + F.col("place")).alias("at"), F.coalesce("root", "key").alias("root"))
+    members = groups.where("size > 2").select("name", "least", F.explode("keys").alias("key")).where("key <> least")
+    members = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("name", "key", F.coalesce("root", "key").alias("root"))
     open_names = members.groupBy("name").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("name")
-    members = written(members.join(open_names, "name", "left_semi"), "open-groups")
+    members = written(_gathered(members.join(open_names, "name", "left_semi")), "open-groups")
     data = known.select("key", "n", F.col(similar.sketch).alias("data"))
-    block = F.floor(F.col("at") / BLOCK)
-    found = _blocked(members.withColumn("block", block), data).mapInArrow(_candidates(similar), "name long, key long").distinct()
-    found = written(found, "candidates")
+    found = _blocked(members, data).mapInArrow(_candidates(similar), "name long, key long").distinct()
+    found = written(_gathered(found), "candidates")
     if found.isEmpty():
         return roots
-    # Groups with the same candidates are looked at once.
-    told = found.groupBy("name").agg(F.bit_xor(F.xxhash64("key")).alias("told"), F.count("*").alias("size"))
-    found = found.join(told.groupBy("told", "size").agg(F.min("name").alias("name")), "name", "left_semi")
     sets = whole_sets(found.select("key").distinct(), docs, sets_of).join(known.select("key", "n"), "key")
     sets = written(sets.select("key", "n", F.col("set").alias("data")), "sets")
-    members = members.join(found, ["name", "key"], "left_semi")
-    # A block of the largest set's size fits in BLOCK_BYTES.
-    wide = members.join(sets.select("key", "n"), "key").groupBy("name").agg(F.max("n").alias("widest"))
-    per = F.greatest(F.lit(2), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_BYTES // KEPT) / F.col("widest"))))
-    members = members.join(wide, "name").select("name", "key", "root", F.floor(F.col("at") / per).alias("block"))
-    links = _blocked(members, sets).mapInArrow(_joining(similar), "u long, v long")
+    found = found.join(members.select("key", "root").distinct(), "key")
+    links = _blocked(found, sets).mapInArrow(_joining(similar), "u long, v long")
     return written(joined(roots, links), "roots")
 
 

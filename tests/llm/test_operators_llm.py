@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from postfunnel.llm import chat, components, decontaminate, jaccard, lines, lm, packing, queries, shards, topk, toxicity, urls
+from postfunnel.llm import chat, components, decontaminate, jaccard, lines, lm, meet, packing, queries, shards, topk, toxicity, urls
 from postfunnel.llm.common import table
 
 D = "/root/testdata/sf0.001"
@@ -70,7 +70,7 @@ def test_jaccard_matches_brute_force_on_a_table(spark):
 
 
 def test_open_groups_are_handled_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(meet, "BLOCK", 3)
     rows = [tuple(r) for r in table(spark, D, "documents").select("doc_id", "text").collect()] + edge_docs()[8:]
     got = jaccard.near_duplicates(edge_frame(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got)) == sorted(brute.components(rows))
