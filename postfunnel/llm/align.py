@@ -33,9 +33,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from postfunnel.llm.common import raw, slices, worker_state, written
+from postfunnel.llm.common import partitions, raw, slices, worker_state, written
 
 BLOCK_BYTES = 16 << 20
+#: Blocks that a task scores one after the other, on average.
+BLOCKS = 4
 #: A link's code is A's id times this plus B's id.
 SHIFT = 16
 #: Words or white space of more bytes go to the tokenizer that takes n log n for them.
@@ -336,6 +338,8 @@ def score_links(aligned: DataFrame) -> DataFrame:
         out = rows.select([f.name for f in kept])
         return out.append_column("n_best", total(times * best[at])).append_column("count_sum", total(times * n[at]))
 
-    known = used.distinct().join(counts, "code").groupBy("block")
+    # As many tasks as the blocks need, whatever the session's number of partitions.
+    tasks = max(partitions(aligned.sparkSession), -(-aligned.select("block").distinct().count() // BLOCKS))
+    known = used.distinct().join(counts, "code").repartition(tasks, "block").groupBy("block")
     told = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["n_best long", "count_sum long"])
-    return aligned.groupBy("block").cogroup(known).applyInArrow(run, told)
+    return aligned.repartition(tasks, "block").groupBy("block").cogroup(known).applyInArrow(run, told)
