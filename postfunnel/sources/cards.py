@@ -10,11 +10,9 @@ from postfunnel.functions.text import (
     absolute_url, blank_to_null, drop_teaser_tail, excerpt, let, row_id, squeeze, strip_html,
     trailing_id, with_stated_pay,
 )
+from postfunnel.sources import markup
 
-# -- fixed values: how the board marks up its pages ------------------------
-CARD_CLASS = "jobpost-cat-box"
-LOGO_CLASS = "jobpost-cat-box-logo"
-JOB_PATH = "/jobseekers/job/"
+# -- fixed values: how the board marks up a detail page ---------------------
 BODY_MARK = "job-description"
 
 
@@ -69,41 +67,30 @@ def _balanced(name: Column, rest: Column) -> Column:
 
 
 def cards_of(pages: DataFrame, *keep: str, html: str = "html") -> DataFrame:
-    """One row per card, in page order.  The link stands either around the
-    card or inside it, so the text before a card is kept next to it."""
-    marked = F.regexp_replace(
-        F.coalesce(F.col(html), F.lit("")), rf"(?is)<div\b[^>]*{_class(CARD_CLASS)}[^>]*>", "\u0001"
-    )
-    parts = pages.select(*keep, F.split(marked, "\u0001").alias("_parts"))
-    cards = parts.select(
-        *keep, "_parts", F.posexplode(F.slice(F.col("_parts"), 2, F.size("_parts"))).alias("pos", "card")
-    )
-    return cards.select(*keep, "pos", F.element_at("_parts", F.col("pos") + 1).alias("before"), "card")
-
+    """One row per card, in page order, with its place and its fields as text.
 
-def _tag_text(html: Column) -> Column:
-    return squeeze(strip_html(html))
+    A page is walked once (``markup.cards``); everything after that is column
+    expressions over the card's short fields.
+    """
+    picked = pages.select(*keep, F.col(html).cast("string").alias("_html"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
+    card = ", ".join(f"{name}: string" for name in markup.FIELDS)
+    return picked.mapInArrow(markup.read_cards, f"{kept}{', ' if kept else ''}pos int, card struct<{card}>")
 
 
 def card_fields(cards: DataFrame) -> DataFrame:
-    """The raw fields of each card, as text."""
-    card = F.col("card")
-    # A link left open before the card is the one around it.
-    around = F.regexp_extract(F.col("before"), r"""(?is)<a\b[^>]*\bhref\s*=\s*["']([^"']*)["'][^>]*>(?!.*</a>)[^<]*$""", 1)
-    inside = F.regexp_extract(card, rf"""(?is)<a\b[^>]*\bhref\s*=\s*["']([^"']*{JOB_PATH}[^"']*)["']""", 1)
-    out = cards.withColumn("href", F.coalesce(blank_to_null(around), blank_to_null(inside), F.lit("")))
-    out = out.withColumn("_head", F.regexp_extract(card, r"(?is)<h4\b[^>]*>(.*?)</h4>", 1))
-    badge = rf"(?is)<(\w+)\b[^>]*{_class('badge')}[^>]*>(.*?)</\1>"
-    out = out.withColumn("job_type", _tag_text(F.regexp_extract("_head", badge, 2)))
-    out = out.withColumn("title", _tag_text(F.regexp_replace("_head", badge, " ")))
-    stamp = F.regexp_extract(card, r"""(?is)\bdata-temp-2\s*=\s*["']([^"']*)["']""", 1)
-    out = out.withColumn("posted", F.try_to_timestamp(F.btrim(stamp)))
-    logo = F.regexp_extract(card, rf"(?is)<img\b[^>]*{_class(LOGO_CLASS)}[^>]*>", 0)
-    out = out.withColumn("company", squeeze(strip_html(F.regexp_extract(logo, r"""(?is)\balt\s*=\s*["']([^"']*)["']""", 1))))
-    pay = F.regexp_extract(card, rf"(?is)<dd\b[^>]*{_class('col')}[^>]*>(.*?)</dd>", 1)
-    out = out.withColumn("salary_text", _tag_text(pay))
-    return out.withColumn("teaser", drop_teaser_tail(F.coalesce(
-        strip_html(inner_html(card, _class("desc"))), F.lit("")))).drop("_head")
+    """The card's fields, tidied: a text's blanks squeezed, the stamp as a time, the teaser flattened."""
+    c = F.col("card")
+    return cards.select(
+        *[n for n in cards.columns if n != "card"],
+        c["href"].alias("href"),
+        squeeze(c["job_type"]).alias("job_type"),
+        squeeze(c["title"]).alias("title"),
+        F.try_to_timestamp(F.btrim(c["stamp"])).alias("posted"),
+        squeeze(c["company"]).alias("company"),
+        squeeze(c["pay"]).alias("salary_text"),
+        drop_teaser_tail(strip_html(c["teaser"])).alias("teaser"),
+    )
 
 
 def postings_from(cards: DataFrame, board: str = vocab.BOARD_CARDS, *keep: str,
