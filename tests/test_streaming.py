@@ -67,3 +67,25 @@ def test_repeats_and_counters(spark, tmp_path):
     assert sorted((r.stage, r.n) for r in count().collect()) == [("a", 2), ("b", 1)]
     write(spark, path, [("a", 3, START, True)], 2)
     assert sorted((r.stage, r.n) for r in count().collect()) == [("a", 3), ("b", 1)]
+
+
+def test_throttle_does_not_depend_on_the_order_of_files(spark, tmp_path):
+    import random
+
+    r = random.Random(3)
+    rows = [(f"k{r.randrange(3)}", n, START + dt.timedelta(minutes=r.randrange(60)), r.random() < 0.7) for n in range(60)]
+    want, state = [], {}
+    for key, n, when, failed in sorted(rows, key=lambda x: (x[2], x[1])):
+        at = int((when - dt.datetime(1970, 1, 1)).total_seconds() * 1_000_000)
+        outcome, *state[key] = throttle.step(*state.get(key, (0, 0)), at, failed, 15 * MINUTE, 3)
+        want.append((key, n, outcome, state[key][0]))
+    for cut in (1, 5):
+        r.shuffle(rows)
+        path = str(tmp_path / f"in{cut}")
+        for n in range(cut):
+            write(spark, path, rows[n::cut], n)
+        attempts = ingest.file_stream(spark, path, files_per_batch=1).withColumn("at", F.unix_micros("ts")).drop("part")
+        out = throttle.throttle(attempts.withWatermark("ts", "2 hours"), 15, 3)
+        ingest.append_available(out, str(tmp_path / f"out{cut}"), str(tmp_path / f"check{cut}"))
+        found = throttle.last_told(spark.read.parquet(str(tmp_path / f"out{cut}"))).select("key", "attempt_no", "outcome", "fails")
+        assert sorted(map(tuple, found.collect())) == sorted(want)
