@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, functions as F
 
 from postfunnel import vocab
@@ -32,16 +30,10 @@ def eligibility_sentences(text: Column, limit: int = 4) -> Column:
     return F.when(body.rlike(words), first).otherwise(none)
 
 
-def _alternatives(words: list[str]) -> str:
-    """Phrases as one group; a blank matches any run of white space."""
-    return "|".join(re.escape(w).replace(r"\ ", r"\s+") for w in words)
-
-
 def _negated(before: Column, after: Column) -> Column:
     """Does a negation in the same clause end the text before, or start the text after?"""
-    gap = rf"[^.;:!?]{{0,{vocab.LETTER_REACH}}}"
-    return (before.rlike(rf"(?iU)\b(?:{_alternatives(vocab.LETTER_NEG_BEFORE)})\b{gap}\n?\z")
-            | after.rlike(rf"(?iU)^{gap}\b(?:{_alternatives(vocab.LETTER_NEG_AFTER)})\b"))
+    # (?d): only a line feed counts as the last line's end.
+    return before.rlike(f"(?iUd){vocab.LETTER_NEG_BEFORE}") | after.rlike(f"(?iUd){vocab.LETTER_NEG_AFTER}")
 
 
 def asks_for_letter(text: Column) -> Column:
@@ -51,7 +43,7 @@ def asks_for_letter(text: Column) -> Column:
     A negation counts within the window of characters next to the phrase.
     Windows are cut only from texts that have a phrase.
     """
-    asked = rf"(?:{vocab.LETTER_KINDS})\s+letters?|letters?\s+of\s+(?:{vocab.LETTER_PURPOSES})"
+    asked = vocab.LETTER_ASK
     n = vocab.LETTER_WINDOW
     # The cheap look at the phrase comes first; the window before it is whole, or starts with the text.  Java bounds
     # a look-behind in units of UTF-16, of which a character may have two: the last branch only widens that bound.

@@ -11,7 +11,7 @@ _FIRST_SECOND = -62_135_596_800
 _LAST_SECOND = 253_402_300_799
 _ISO = (
     r"^\d{4}-\d{2}-\d{2}"
-    r"([T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,6})?)?(Z|z|[+-]\d{2}:?\d{2})?)?$"
+    r"([T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?(Z|z|[+-]\d{2}:?\d{2})?)?$"
 )
 
 
@@ -37,9 +37,9 @@ def epoch_millis(value: Column) -> Column:
 
 
 def iso_time(value: Column) -> Column:
-    """ISO text as a time; text without a zone is UTC, and junk is null."""
+    """ISO text as a time; text without a zone is UTC, junk is null, and what is finer than a microsecond is cut."""
     def read(text: Column) -> Column:
-        plain = F.replace(F.upper(text), F.lit(","), F.lit("."))
+        plain = F.regexp_replace(F.replace(F.upper(text), F.lit(","), F.lit(".")), r"(\.\d{6})\d+", "$1")
         zoned = F.regexp_replace(plain, r"([+-]\d{2})(\d{2})$", "$1:$2")
         timed = F.regexp_replace(zoned, r"^(.{11}\d{2}:\d{2})(?!:)", "$1:00")
         # A bare date ends in -dd, which the zone rewrite must leave alone.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from postfunnel import vocab
-from postfunnel.functions.text import strip
+from postfunnel.functions.text import blank_to_null, strip
 
 REFETCHABLE = [vocab.BOARD_FEED, vocab.BOARD_CARDS]
 
@@ -25,11 +25,20 @@ def refetch_since(wanted: DataFrame, now: Column) -> DataFrame:
         F.coalesce(F.min("posted_at") - day, now - far).alias("since"))
 
 
-def fill(wanted: DataFrame, refetched: DataFrame, capped: DataFrame, refetchable: list[str]) -> DataFrame:
+def with_details(refetched: DataFrame, details: DataFrame) -> DataFrame:
+    """The refetched rows, with the detail page's text (uid, body) where the listing gave none."""
+    missing = strip(F.coalesce("description", F.lit(""))) == ""
+    bodies = details.groupBy("uid").agg(F.min(blank_to_null(F.col("body"))).alias("_body"))
+    rows = refetched.join(bodies, "uid", "left")
+    return rows.withColumn("description", F.when(missing, F.col("_body")).otherwise(F.col("description"))).drop("_body")
+
+
+def fill(wanted: DataFrame, refetched: DataFrame, capped: DataFrame | None, refetchable: list[str]) -> DataFrame:
     """Each wanted row with the first text found for it and what became of it.
 
     ``refetched`` has (uid, arrival, description); ``capped`` has (source,
-    hit_page_cap).  "Gone" and "never looked that far" are different answers.
+    hit_page_cap), or is None for a walk that only the time ended.  "Gone" and
+    "never looked that far" are different answers.
     """
     texts = refetched.filter(strip(F.coalesce("description", F.lit(""))) != "")
     first = W.partitionBy("uid").orderBy("arrival")
@@ -38,7 +47,8 @@ def fill(wanted: DataFrame, refetched: DataFrame, capped: DataFrame, refetchable
         .withColumn("_n", F.row_number().over(first)).filter(F.col("_n") == 1)
         .select("uid", F.col("description").alias("text"))
     )
-    rows = wanted.join(texts, "uid", "left").join(capped.select("source", "hit_page_cap"), "source", "left")
+    rows = wanted.join(texts, "uid", "left")
+    rows = rows.withColumn("hit_page_cap", F.lit(False)) if capped is None else rows.join(capped.select("source", "hit_page_cap"), "source", "left")
     status = (
         F.when(~F.col("source").isin(*refetchable), "not refetchable")
         .when(F.col("text").isNotNull(), "recovered")

@@ -126,12 +126,18 @@ def board_tabs(jobs: DataFrame, windows: DataFrame, now: Column) -> DataFrame:
 
 
 def triage_tally(jobs: DataFrame, windows: DataFrame, now: Column) -> DataFrame:
-    """Fresh rows per board and state, with the totals of both in one pass."""
+    """Fresh rows per board and state, with the totals of both in one pass.
+
+    A total is told from a missing value by its grouping, not by being null: a
+    row without a state is counted under none.
+    """
+    def shown(name: str) -> Column:
+        return F.when(F.col(f"_{name}_total") == 1, "(all)").otherwise(F.col(name)).alias(name)
+
     return (
         fresh(jobs, windows, now).rollup("source", "state")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.coalesce("source", F.lit("(all)")).alias("source"),
-                F.coalesce("state", F.lit("(all)")).alias("state"), "n")
+        .agg(F.count(F.lit(1)).alias("n"), F.grouping("source").alias("_source_total"), F.grouping("state").alias("_state_total"))
+        .select(shown("source"), shown("state"), "n")
     )
 
 

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from postfunnel import vocab
 from postfunnel.functions.dates import whole_number
-from postfunnel.functions.text import clip, strip
+from postfunnel.functions.text import clip, let, strip
 from postfunnel.operators.numbering import with_position
 from postfunnel.policy import Profile
-from postfunnel.schema import ASK, SCORE_RESULT
+from postfunnel.schema import ASK, SAID_RESULT, SCORE_RESULT
 
 
 def source_rank(sources: list[str]) -> Column:
@@ -74,18 +74,55 @@ def parse_responses(responses: DataFrame, size: int = vocab.SCORE_BATCH_SIZE) ->
     """Results keyed by the index each one echoes, never by its place.
 
     ``responses`` holds (batch, body), the body a JSON list.  An item without a
-    usable index is dropped; of two with one index the later wins.
+    usable index is dropped; of two with one index the later wins.  A score with
+    a fraction is cut to its whole part, and an ask that is no object with a
+    ``kind`` is left out without costing the others.
     """
     items = responses.select("batch", F.posexplode(F.from_json("body", "array<string>")).alias("pos", "item"))
     rows = items.select(
         "batch", "pos",
-        F.from_json("item", SCORE_RESULT).alias("result"),
-    ).withColumn("i", whole_number(F.col("result.i")))
+        F.from_json("item", SAID_RESULT).alias("said"),
+    ).withColumn("i", whole_number(F.col("said.i")))
     rows = rows.filter((F.col("i") >= 0) & (F.col("i") < size))
     last = W.partitionBy("batch", "i").orderBy(F.desc("pos"))
     return (
         rows.withColumn("_n", F.row_number().over(last)).filter(F.col("_n") == 1)
-        .select("batch", F.col("i").cast("int").alias("i"), "result")
+        .select("batch", F.col("i").cast("int").alias("i"), _as_result(F.col("said")).alias("result"))
+    )
+
+
+def _as_result(said: Column) -> Column:
+    """What a scorer said, in the result's types."""
+    read = {"score": whole_number(said["score"]).try_cast("int"), "requirements": _asks_said(said["requirements"])}
+    fields = [read.get(f.name, said[f.name]).cast(f.dataType).alias(f.name) for f in SCORE_RESULT.fields]
+    return F.when(said.isNotNull(), F.struct(*fields))
+
+
+def _asks_said(items: Column) -> Column:
+    """Asks from JSON texts, one by one: an item that cannot be read leaves the others as they are."""
+    def ask(item: Column) -> Column:
+        def read(value: Column) -> Column:
+            detail = F.variant_get(value, "$.detail", "variant")
+            return F.struct(
+                F.try_variant_get(value, "$.kind", "string").alias("kind"),
+                truthy(F.variant_get(value, "$.mandatory", "variant")).alias("mandatory"),
+                F.when(truthy(detail), F.try_variant_get(value, "$.detail", "string")).alias("detail"))
+
+        return let(F.try_parse_json(item), lambda v: F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT<")), read(v)))
+
+    return F.filter(F.transform(items, ask), lambda a: a["kind"].isNotNull())
+
+
+def truthy(value: Column) -> Column:
+    """Does a JSON value count as yes: neither missing, false, zero nor empty?"""
+    kind = F.schema_of_variant(value)
+    number = F.try_variant_get(value, "$", "double")
+    return (
+        F.when(value.isNull() | (kind == "VOID"), F.lit(False))
+        .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
+        .when(kind == "STRING", F.try_variant_get(value, "$", "string") != "")
+        .when(F.startswith(kind, F.lit("ARRAY")) | F.startswith(kind, F.lit("OBJECT")), ~F.to_json(value).isin("[]", "{}"))
+        .otherwise(F.coalesce(number != 0, F.lit(True)))
     )
 
 

@@ -45,6 +45,12 @@ SCORE_RESULT = T.StructType([
     T.StructField("requirements", T.ArrayType(ASK)),
 ])
 
+# The same as a scorer may say it: numbers with fractions, asks of any form.
+SAID_RESULT = T.StructType([
+    T.StructField(f.name, {"score": T.StringType(), "requirements": T.ArrayType(T.StringType())}.get(f.name, f.dataType))
+    for f in SCORE_RESULT.fields
+])
+
 FEED_ITEM = T.StructType([
     T.StructField("guid", T.StringType()),
     T.StructField("applicationLink", T.StringType()),

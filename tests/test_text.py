@@ -149,6 +149,8 @@ def test_regions(spark):
     assert values(spark, ["ph", " US ", "DE", None], regions.country_regions(F.col("x"))) == [
         ["Philippines"], ["United States"], [], []]
     assert values(spark, [["8", "x", None, "-5"], None], regions.offsets(F.col("x")), "array<string>") == [[8, -5], []]
+    assert values(spark, ["2026-09-01T09:12:44.1234567Z", "2026-09-01 09:12:44,123456789"],
+                  F.unix_micros(dates.iso_time(F.col("x"))) % 1_000_000) == [123456, 123456]
 
 
 def test_lists_of_patterns(spark):
