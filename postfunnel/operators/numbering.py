@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from postfunnel.session import shared_dir
+
 BITS = 16
 
 
@@ -45,6 +47,25 @@ def with_position(df: DataFrame, order: str, before: tuple[str, ...] = (),
     ).drop("_b1", "_start")
 
 
+def with_order(df: DataFrame, *order: str, name: str = "arrival") -> DataFrame:
+    """Add the 0-based position in the order of several columns of any type, which tell all rows apart.
+
+    The rows are dealt to ranges of the order, sorted and numbered inside their
+    range, and written; a range starts where those before it end.  The cuts
+    between ranges come from a sample, the positions do not depend on them, nor
+    on how the input was split.  One number for each range is all that meets.
+    """
+    path = shared_dir(df.sparkSession, "ordered")
+    (df.repartitionByRange(*order).sortWithinPartitions(*order)
+     .withColumn("_range", F.spark_partition_id())
+     .withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+     .write.parquet(path))
+    rows = df.sparkSession.read.parquet(path)
+    counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    starts = _running(counts, [], ["_range"], "_start").drop("_n")
+    return rows.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_place")).drop("_range", "_place", "_start")
+
+
 def _totals(counts: DataFrame, *keys: str) -> DataFrame:
     return counts.groupBy(*keys).agg(F.sum("_n").alias("_n"))
 

@@ -26,7 +26,8 @@ class VersionedTable:
 
     def __init__(self, spark: SparkSession, root: str, part: Column | None = None, key: str = "uid"):
         self.spark, self.root, self.key = spark, root.rstrip("/"), key
-        self.part = F.lit("all") if part is None else F.regexp_replace(part, "[^A-Za-z0-9._-]", "-")
+        # Rows that name no part have one of their own.
+        self.part = F.lit("all") if part is None else F.coalesce(F.regexp_replace(part, "[^A-Za-z0-9._-]", "-"), F.lit("~none"))
 
     def _pointer(self, before: int | None = None) -> DataFrame | None:
         try:
@@ -86,7 +87,7 @@ class VersionedTable:
         parts = self._parts(new)
         old = self._rows(parts)
         if old is None:
-            return self._publish(rows, set(), new)
+            return self._publish(merge(rows.limit(0), rows), set(), new)
         held = old.join(rows.select(self.key), self.key, "left_semi").select("part")
         given = rows.select(self.part.alias("part"))
         touched = {r.part for r in held.union(given).distinct().collect()}
@@ -104,11 +105,17 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(window)).filter(F.col("_n") == 1).drop("_n")
 
 
-def upsert_rows(old: DataFrame, new: DataFrame, key: str = "uid") -> DataFrame:
+def upsert_rows(old: DataFrame, new: DataFrame, key: str = "uid", order: list[Column] | None = None) -> DataFrame:
     """Whole-row replace: nothing of the old row survives, not even its age.
     Columns either side lacks are added as null, and none is dropped."""
     kept = old.join(new.select(key), key, "left_anti")
-    return kept.unionByName(new, allowMissingColumns=True)
+    return kept.unionByName(settled(new, key, order), allowMissingColumns=True)
+
+
+def settled(new: DataFrame, key: str = "uid", order: list[Column] | None = None) -> DataFrame:
+    """One row of each key: the first in ``order``, or, where rows come in none,
+    the greatest by its columns from left to right, so that a replay picks the same."""
+    return latest(new, [key], order or [F.desc_nulls_last(c) for c in new.columns if c != key] or [F.lit(0)])
 
 
 def replace_asks(old: DataFrame, jobs: DataFrame, asks: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from postfunnel.plans.catalog import query
 from postfunnel.plans.catalog.duck import NOW, html_text, sql, strip
 from postfunnel.plans.catalog.text import PAID, PAY_STEPS, STRUCTURED
 from postfunnel.schema import FEED_PAGE
-from postfunnel.sources import boards, capture, cards, feed, pages
+from postfunnel.session import shared_dir
+from postfunnel.sources import boards, capture, cards, feed, files, pages
 from postfunnel import vocab
 
 
@@ -135,6 +136,63 @@ def card_pay(spark, d):
     return rows.select("arrival", "salary_min", "salary_max", "salary_period")
 
 
+_ODD_CARD = """'<p data-temp-2="2001-01-02 03:04:05"><div class="other"><a href="/jobseekers/job/outer-' || source_id || '">'
+  || '<!-- <div class="jobpost-cat-box"><h4>not this</h4></div> --><em><DIV data-x="a>b" class=''wide jobpost-cat-box''>'
+  || '<img class=jobpost-cat-box-logo alt="' || coalesce(company, '') || '''s &eacute;t&#xe9; &amp; co" /><h4>' || title || ' &lt;' || source || '&gt;<b class="badge x">Full &mdash; time</b> now</h4>'
+  || CASE WHEN arrival % 3 = 0 THEN '<dd class="col">first' ELSE '' END
+  || '<span data-temp-2=''2001-02-03 04:05:06''></span><dl class="fs-14 row"><dd class="col">$' || (1 + arrival % 90) || ' &#x2F; hour<dd class="col">no</dl>'
+  || '<section class="desc">A &lt;b&gt;, <p>two &rsquo;s &copy; <a href="/jobseekers/job/x-1">See More</a></section><div class="desc">other</div></div></em></a>'"""
+
+
+@query("s05_card_markup", sql("""
+    SELECT 'cards:' || source_id AS uid, title || ' <' || source || '> now' AS title, 'Full — time' AS job_type,
+      coalesce(company, '') || '''s été & co' AS company, 'https://base.example.com/jobseekers/job/outer-' || source_id AS url,
+      '2001-02-03 04:05:06' AS posted, '$' || (1 + arrival % 90) || ' / hour' AS pay,
+      'Stated pay: $' || (1 + arrival % 90) || ' / hour' || chr(10) || chr(10) || 'A <b>, two ’s ©' AS description,
+      CAST((1 + arrival % 90) * 2080 AS BIGINT) AS salary_max
+    FROM postings WHERE arrival % 5 = 0""", "postings"))
+def card_markup(spark, d):
+    """Markup as a board may send it: either quotes, none, a link around, entities of all kinds, what is never closed."""
+    page = F.concat(F.expr(_ODD_CARD), F.lit("<div>the end"))
+    rows = views.view(spark, d, "postings").filter("arrival % 5 = 0").select("arrival", page.alias("html"))
+    found = cards.postings_from(cards.cards_of(rows, "arrival"), "cards", "arrival", base_url="https://base.example.com")
+    return found.select("uid", "title", F.element_at("categories", 1).alias("job_type"), "company", "url", sample.stamp("posted").alias("posted"),
+                        F.col("salary_text").alias("pay"), "description", "salary_max")
+
+
+def feed_files(spark, d):
+    """The feed as files of pages: each seventh page is cut off, each second written over many lines."""
+    root = shared_dir(spark, "feed-files")
+    items = views.view(spark, d, "feed").filter("guid <> '' AND trim(title) <> '' AND pub_date NOT IN ('soon', '0')")
+    item = F.struct("guid", "title", F.col("pub_date").alias("pubDate"))
+    page = F.lpad(F.floor(F.col("arrival") / 500).cast("string"), 9, "0").alias("page")
+    listed = items.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("arrival", F.to_json(item).alias("json")))).alias("rows"))
+    number = F.col("page").cast("long")
+    lines = [F.array_join("rows.json", comma) for comma in (",", ",\n\n  ")]
+    text = F.concat(F.lit('{"jobs": ['), F.when(number % 2 == 0, lines[1]).otherwise(lines[0]), F.lit("]}"))
+    text = F.when(number % 7 == 3, F.substr(text, F.lit(1), F.length(text) - 9)).otherwise(text)
+    listed.select("page", text.alias("value")).repartition("page").write.partitionBy("page").text(root)
+    return root
+
+
+_PAGED = "(SELECT *, CAST(floor(arrival / 500) AS BIGINT) AS page FROM feed WHERE guid <> '' AND trim(title) <> '' AND pub_date NOT IN ('soon', '0'))"
+
+
+@query("s01_feed_files", sql(f"""
+    SELECT '{vocab.BOARD_FEED}:' || guid AS uid, row_number() OVER (ORDER BY arrival) - 1 AS arrival FROM {_PAGED} WHERE page % 7 <> 3""", "feed"))
+def feed_file_postings(spark, d):
+    """Read from files of one line and of many; the arrival follows files and places in them."""
+    return feed.read_feed(spark, feed_files(spark, d)).select("uid", "arrival")
+
+
+@query("s15_file_states", sql(f"""
+    SELECT '{vocab.BOARD_FEED}' AS source, count(DISTINCT page) AS files, count(DISTINCT page) FILTER (WHERE page % 7 <> 3) AS read,
+      count(DISTINCT page) FILTER (WHERE page % 7 = 3) AS bad, CAST(0 AS BIGINT) AS empty, true AS ok FROM {_PAGED}""", "feed"))
+def file_states(spark, d):
+    found = feed.file_states(spark, feed_files(spark, d)).withColumn("source", F.lit(vocab.BOARD_FEED))
+    return files.board_states(found)
+
+
 _LD = """CASE page_id % 6
   WHEN 0 THEN '<script type="application/ld+json">{"@type": "JobPosting", "title": " T' || page_id || ' ", "hiringOrganization": {"name": "Org ' || page_id || '"}, "datePosted": "2001-03-04", "validThrough": "2001-05-06T07:08:09Z", "description": "<p>Do it</p>", "baseSalary": {"currency": "usd", "value": {"minValue": "1,' || (100 + page_id % 900) || '", "maxValue": 5000.7, "unitText": "MONTH"}}, "jobLocation": [{"address": {"addressCountry": "PH"}}, {"name": "Cebu"}]}</script>'
   WHEN 1 THEN '<script type="application/ld+json">{broken</script><script type=''application/ld+json''>{"@graph": [{"@type": "WebPage", "name": "x"}, {"@type": ["Thing", "jobPosting"], "title": "G' || page_id || '", "applicantLocationRequirements": [{"@type": "Country", "name": "Kenya"}, {"name": "Kenya"}], "baseSalary": {"salaryCurrency": "EUR", "value": {"value": 30, "unitText": "DAY"}}}]}</script>'
@@ -268,6 +326,14 @@ def walk_ends(spark, d):
     return boards.walk_ends(views.view(spark, d, "page_walk"), since, vocab.CARDS_PAGE_CAP)
 
 
+@query("s13_whole_walk", sql(f"""
+    SELECT w.uid FROM page_walk w JOIN ({_WALK.format(since='1999-05-20', cut='')}) p USING (source, page_no)
+    WHERE p.reached AND w.posted >= TIMESTAMP '1999-05-20'""", "page_walk"))
+def whole_walk(spark, d):
+    """A walk that goes past page 40, as nothing but the time ends it."""
+    return boards.walk(views.view(spark, d, "page_walk"), F.to_timestamp(F.lit("1999-05-20 00:00:00"))).select("uid")
+
+
 @query("s14_one_source", sql("SELECT uid FROM postings WHERE source = 'furniture'", "postings"))
 def one_source(spark, d):
     return boards.only_source(sample.postings(spark, d), "furniture", sample.BOARDS).select("uid")
@@ -305,6 +371,22 @@ def unknown_kinds(spark, d):
     return policies.unknown_kinds(views.view(spark, d, "raw_asks")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("s16_policy_violations", sql("""
+    SELECT source, 'the floor is above the target' AS problem FROM raw_policy WHERE floor_hourly > 18
+    UNION ALL SELECT source, 'an advert that asks for a letter needs a higher score than one that does not' FROM raw_policy
+      WHERE draft_if_asked_at > coalesce(draft_at, 45)""", "raw_policy"))
+def policy_violations(spark, d):
+    raw = views.view(spark, d, "raw_policy").withColumn("draft_at", F.coalesce("draft_at", F.lit(45)))
+    return policies.policy_violations(raw, 18.0)
+
+
+@query("s16_overlapping_kinds", sql("""
+    SELECT DISTINCT kind FROM raw_asks WHERE mandatory AND kind IN (SELECT kind FROM raw_asks WHERE NOT mandatory)""", "raw_asks"))
+def overlapping_kinds(spark, d):
+    asks = views.view(spark, d, "raw_asks")
+    return policies.overlapping_kinds(asks.filter("mandatory"), asks.filter("NOT mandatory"))
+
+
 @query("s17_missing_policies", sql("""
     SELECT DISTINCT source FROM adverts WHERE source NOT IN (SELECT source FROM policy)""", "adverts", "policy"))
 def missing_policies(spark, d):

@@ -10,7 +10,7 @@ from postfunnel.plans.catalog import query
 from postfunnel.plans.catalog.duck import NOW, sql
 from postfunnel.plans.catalog.funnel import tagged
 from postfunnel.session import shared_dir
-from postfunnel.sources import boards
+from postfunnel.sources import boards, cards
 
 
 def jobs(spark, d):
@@ -308,3 +308,27 @@ def filled_jobs(spark, d):
     return recovery.apply_fill(jobs(spark, d), _filled(spark, d)).select("uid", "description")
 
 
+def _recovered(spark, d):
+    """Each board walked to its own oldest row without text, and the detail page where the listing has none."""
+    wanted = recovery.targets(jobs(spark, d))
+    walk = views.view(spark, d, "page_walk").join(recovery.refetch_since(wanted, sample.now()), "source")
+    found = boards.walk(walk, F.col("since"))
+    listed = F.when(F.col("arrival") % 4 != 0, F.concat(F.lit("found "), "uid"))
+    details = views.view(spark, d, "details").select("uid", cards.detail_body(F.col("html")).alias("body"))
+    refetched = recovery.with_details(found.select("uid", "arrival", listed.alias("description")), details)
+    return recovery.fill(wanted, refetched, None, ["building", "machinery", "furniture"])
+
+
+@query("r10_recover_by_board", sql("", "jobs", "page_walk", "postings").rstrip() + """,
+    since AS (SELECT source, min(posted_at) - INTERVAL '1' DAY AS since FROM jobs WHERE coalesce(description, '') = '' GROUP BY source),
+    pages AS (SELECT *, coalesce(min(fresh) OVER (PARTITION BY source ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)
+        AND row_number() OVER (PARTITION BY source ORDER BY page_no) = page_no AS reached
+      FROM (SELECT source, page_no, bool_or(posted >= since) AS fresh FROM page_walk JOIN since USING (source) GROUP BY ALL)),
+    found AS (SELECT w.uid, w.arrival, CASE WHEN w.arrival % 4 <> 0 THEN 'found ' || w.uid WHEN w.arrival % 9 IN (4, 5) THEN NULL
+        WHEN w.arrival % 9 = 6 THEN 'Part ' || p.title ELSE 'Full ' || p.title || chr(10) || ' Must be located in ' || w.source || '.' END AS text
+      FROM page_walk w JOIN pages g USING (source, page_no) JOIN since s USING (source) JOIN postings p ON p.uid = w.uid WHERE g.reached AND w.posted >= s.since)
+    SELECT j.uid, CASE WHEN j.source NOT IN ('building', 'machinery', 'furniture') THEN 'not refetchable' WHEN text IS NOT NULL THEN 'recovered' ELSE 'gone' END AS status,
+      CASE WHEN j.source IN ('building', 'machinery', 'furniture') THEN text END AS text
+    FROM jobs j LEFT JOIN found f ON f.uid = j.uid WHERE coalesce(j.description, '') = ''""")
+def recover_by_board(spark, d):
+    return _recovered(spark, d).select("uid", "status", "text")

@@ -9,6 +9,8 @@ working the sources out again.
 
 from __future__ import annotations
 
+import datetime
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -78,21 +80,53 @@ class Outcome:
     line: str
 
 
+class NoSource(RuntimeError):
+    """No board of a run could be read."""
+
+
 def run(spark: SparkSession, postings: DataFrame, profile: Profile, now: Column, kept: RunStore,
         capabilities: DataFrame | None = None, details: DataFrame | None = None,
         hydratable: list[str] = (vocab.BOARD_CARDS,),
         scorer: Callable[[DataFrame], DataFrame] | None = None,
-        rescore: bool = False, model: str = "none") -> Outcome:
+        rescore: bool = False, model: str = "none", status: DataFrame | None = None) -> Outcome:
     """One run over all boards' rows.
 
     ``scorer`` takes the rendered batches (batch, n, text) and returns the
     responses (batch, body); without one every survivor is stored unscored.
+    ``status`` is what ``boards.read_boards`` said of the boards: what failed is
+    kept in the ledger, and the run fails only if all of them did.  The ledger
+    has a closing row of every run, also of one that broke off.
     """
     policy = profile.frame(spark)
     require_policies(postings, policy)
     run_id, started = kept.next_run(), spark.range(1).select(now.alias("t")).first().t
     kept.log(run_id, 1, started_at=started, ok=False)
+    clock = time.monotonic()
+
+    def close(ok: bool, **values) -> None:
+        finished = started + datetime.timedelta(seconds=time.monotonic() - clock)
+        kept.log(run_id, 2, started_at=started, finished_at=finished, ok=ok, **values)
+
+    try:
+        failures = None if status is None else _failures(status)
+        outcome = _run(spark, postings, profile, now, kept, policy, run_id, capabilities, details, hydratable, scorer, rescore)
+    except Exception as problem:
+        close(False, error=f"{type(problem).__name__}: {problem}"[:1000], model=model)
+        raise
+    row = outcome.counts.select("fetched", "to_score").first()
+    close(True, fetched=row.fetched, scored=row.to_score, funnel=outcome.line, model=model, error=failures)
+    return outcome
+
+
+def _failures(status: DataFrame) -> str | None:
+    """What went wrong, as one text; raises if nothing went well.  As many rows as there are boards."""
+    told = [f"{r.source}: {r.error}" for r in status.where("error IS NOT NULL").orderBy("source").collect()]
+    if not boards.run_ok(status).first().ok:
+        raise NoSource("every source failed: " + "; ".join(told))
+    return "; ".join(told) or None
+
 
+def _run(spark, postings, profile, now, kept, policy, run_id, capabilities, details, hydratable, scorer, rescore) -> Outcome:
     rows = postings.withColumn("regions_authoritative", F.lit(True))
     if capabilities is not None:
         rows = boards.with_capabilities(postings, capabilities)
@@ -115,17 +149,17 @@ def run(spark: SparkSession, postings: DataFrame, profile: Profile, now: Column,
     scoring.price(results, profile).write.parquet(path)
     priced = spark.read.parquet(path)
 
-    jobs, asks = store.stored_jobs(priced, run_id, now), store.stored_asks(priced)
+    # Of two copies of one advert in a run the later one is stored, with its asks.
+    last = store.settled(priced, "uid", [F.desc("arrival")])
+    jobs, asks = store.stored_jobs(last, run_id, now), store.stored_asks(last)
     old_asks = kept.asks.read()
     kept.asks.replace(store.replace_asks(asks.drop("position").limit(0) if old_asks is None else old_asks, jobs, asks))
     kept.jobs.upsert(jobs, store.upsert_rows)
     store.append_rejects(store.stored_rejects(fresh, run_id), f"{kept.root}/rejects")
 
     counts = funnel.funnel_counts(tagged)
-    row = counts.select("fetched", "to_score", funnel.funnel_line().alias("line")).first()
-    kept.log(run_id, 2, started_at=started, finished_at=started, ok=True, fetched=row.fetched,
-             scored=row.to_score, funnel=row.line, model=model)
-    return Outcome(run_id, tagged, priced, counts, row.line)
+    line = counts.select(funnel.funnel_line().alias("line")).first().line
+    return Outcome(run_id, tagged, priced, counts, line)
 
 
 def letters_for(outcome: Outcome, profile: Profile, letters: DataFrame) -> DataFrame:

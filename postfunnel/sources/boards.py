@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from postfunnel import vocab
+from postfunnel.operators.numbering import with_position
 from postfunnel.schema import as_posting
+from postfunnel.sources import files
 
 # A reader takes (spark, path, since, now) and returns posting rows.  A board
 # of one's own is one more entry.
 READERS: dict = {}
+# How to tell, for a board read from files, which of them could be read: takes (spark, path).
+STATES: dict = {}
+_STATUS = "source string, files long, read long, bad long, empty long, ok boolean, error string"
 
 
 def register(board: str, reader) -> None:
@@ -29,6 +35,37 @@ def union_boards(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def read_boards(spark: SparkSession, inputs: list[tuple[str, str]], since: Column, now: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows of all boards that can be read, and the status of each board.
+
+    ``inputs`` are (board, path), in the order in which their rows arrive; the
+    arrival is unique over all boards and the same however files are split.  A
+    board that cannot be read gives no rows and its error; a broken file of a
+    board is counted and costs no other's rows.
+    """
+    frames, states, errors = [], [], []
+    for rank, (board, path) in enumerate(inputs):
+        try:
+            rows = read_board(spark, board, path, since, now)
+            state = STATES[board](spark, path).withColumn("source", F.lit(board)) if board in STATES else None
+        except (AnalysisException, ValueError) as problem:
+            errors.append((board, 0, 0, 0, 0, False, str(problem).splitlines()[0][:500]))
+            continue
+        frames.append(rows.withColumn("_rank", F.lit(rank)))
+        if state is None:
+            errors.append((board, 0, 0, 0, 0, True, None))
+        else:
+            states.append(state)
+    status = spark.createDataFrame(errors, _STATUS)
+    if states:
+        told = F.when(F.col("bad") > 0, F.format_string("%d of %d files bad", "bad", "files"))
+        status = status.unionByName(files.board_states(union_boards(states)).withColumn("error", told))
+    if not frames:
+        return as_posting(spark.createDataFrame([], "arrival long")), status
+    rows = with_position(union_boards(frames), "arrival", ("_rank",))
+    return as_posting(rows.withColumn("arrival", F.col("position"))), status
+
+
 def with_capabilities(postings: DataFrame, capabilities: DataFrame) -> DataFrame:
     """What each board can be trusted on; an undeclared flag takes its default.
 

@@ -7,15 +7,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from postfunnel import vocab
 from postfunnel.functions import dates, money, regions
 from postfunnel.functions.text import blank_to_null, excerpt, link_or_canonical, row_id, strip, strip_html
+from postfunnel.operators.numbering import with_order
 from postfunnel.schema import CAPTURE_FILE, as_posting
 
 
-def read_files(spark: SparkSession, path: str, pattern: str = "indeed-*.json") -> DataFrame:
+PATTERN = "indeed-*.json"
+
+
+def read_files(spark: SparkSession, path: str, pattern: str = PATTERN) -> DataFrame:
     """Capture files with their path; an unreadable file keeps only its text."""
     return (
         spark.read.schema(CAPTURE_FILE).option("multiLine", True).option("mode", "PERMISSIVE")
         .option("pathGlobFilter", pattern).json(path)
-        .withColumn("path", F.input_file_name())
+        .withColumn("path", F.col("_metadata.file_path"))
     )
 
 
@@ -93,5 +97,4 @@ def fetch(rows: DataFrame, since: Column, board: str = vocab.BOARD_CAPTURE) -> D
 def read_captures(spark: SparkSession, path: str, since: Column, now: Column,
                   board: str = vocab.BOARD_CAPTURE) -> DataFrame:
     rows = rows_of(with_freshness(read_files(spark, path), now))
-    found = fetch(rows, since, board).withColumn("arrival", F.monotonically_increasing_id())
-    return as_posting(found)
+    return as_posting(with_order(fetch(rows, since, board), "path", "pos"))

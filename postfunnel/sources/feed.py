@@ -7,12 +7,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from postfunnel import vocab
 from postfunnel.functions import dates, regions
 from postfunnel.functions.text import blank_to_null, excerpt, row_id, strip, strip_html
+from postfunnel.operators.numbering import with_order
 from postfunnel.schema import FEED_PAGE, as_posting
+from postfunnel.sources import files
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Pages as read; a file that is no JSON keeps its text in _corrupt_record."""
-    return spark.read.schema(FEED_PAGE).option("mode", "PERMISSIVE").json(path)
+    """Pages as read, with their file and place in it; one that is no JSON keeps its text in _corrupt_record.
+
+    A file whose first line is a whole object has one page a line, any other is
+    one page over all its lines.
+    """
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), "value")
+    by_line = F.col("value").rlike(r"\A\s*\{[^\r\n]*\}[ \t]*(?:\r?\n|\z)")
+    texts = F.when(by_line, F.split("value", r"\r?\n")).otherwise(F.array("value"))
+    texts = raw.select("file", F.posexplode(F.filter(texts, lambda text: strip(text) != "")).alias("page", "_text"))
+    return texts.select("file", "page", F.from_json("_text", FEED_PAGE).alias("_page")).select("file", "page", "_page.*")
 
 
 def items_of(pages: DataFrame, *keep: str) -> DataFrame:
@@ -58,7 +69,12 @@ def postings_from(items: DataFrame, board: str = vocab.BOARD_FEED, *keep: str) -
 
 
 def read_feed(spark: SparkSession, path: str, board: str = vocab.BOARD_FEED) -> DataFrame:
-    """All postings of a folder of feed pages."""
-    pages = read_pages(spark, path).withColumn("_file", F.input_file_name())
-    rows = postings_from(items_of(pages, "_file"), board, "_file")
-    return as_posting(rows.withColumn("arrival", F.monotonically_increasing_id()).drop("_file"))
+    """All postings of a folder of feed pages, in the order of files, pages and items."""
+    order = ("file", "page", "pos")
+    return as_posting(with_order(postings_from(items_of(read_pages(spark, path), "file", "page"), board, *order), *order))
+
+
+def file_states(spark: SparkSession, path: str) -> DataFrame:
+    """Every file of a folder and whether it could be read."""
+    pages = read_pages(spark, path).select("file", F.col("_corrupt_record").isNotNull().alias("bad"))
+    return files.states(files.listing(spark, path), pages)

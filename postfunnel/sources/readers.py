@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postfunnel import vocab
-from postfunnel.sources import boards, capture, cards, feed, pages
+from postfunnel.operators.numbering import with_order
+from postfunnel.sources import boards, capture, cards, feed, files, markup, pages
 
 
 def _feed(spark, path, since, now):
@@ -18,16 +19,28 @@ def _captures(spark, path, since, now):
 
 def _cards(spark, path, since, now):
     """A folder of saved result pages, one file per page."""
-    files = spark.read.option("wholetext", True).text(path).withColumnRenamed("value", "html")
-    rows = cards.postings_from(cards.cards_of(files), vocab.BOARD_CARDS)
-    rows = rows.withColumn("arrival", F.monotonically_increasing_id())
-    return boards.since_watermark(rows, since)
+    saved = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("html"))
+    rows = cards.postings_from(cards.cards_of(saved, "file"), vocab.BOARD_CARDS, "file", "pos")
+    return boards.since_watermark(with_order(rows, "file", "pos"), since)
 
 
 def _manual(spark, path, since, now):
     """A Parquet table of pages (url, html) that a person picked."""
     rows = pages.from_pages(spark.read.parquet(path).select("url", "html"), now)
-    return rows.withColumn("arrival", F.monotonically_increasing_id())
+    return with_order(rows, "uid", "title", "description")
+
+
+def _capture_states(spark, path):
+    bad = F.col("_corrupt_record").isNotNull() & F.col("results").isNull()
+    records = capture.read_files(spark, path).select(F.col("path").alias("file"), bad.alias("bad"))
+    return files.states(files.listing(spark, path, capture.PATTERN), records)
+
+
+def _card_states(spark, path):
+    saved = spark.read.text(path, wholetext=True)
+    # A saved page is bad when it has no card: the markup has changed, or it is no result page.
+    records = saved.select(F.col("_metadata.file_path").alias("file"), (~F.contains("value", F.lit(markup.CARD))).alias("bad"))
+    return files.states(files.listing(spark, path), records)
 
 
 for _board, _reader in {
@@ -37,3 +50,5 @@ for _board, _reader in {
     vocab.BOARD_MANUAL: _manual,
 }.items():
     boards.register(_board, _reader)
+
+boards.STATES.update({vocab.BOARD_FEED: feed.file_states, vocab.BOARD_CAPTURE: _capture_states, vocab.BOARD_CARDS: _card_states})

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from postfunnel import policy as policies
 from postfunnel import vocab
-from postfunnel.operators import funnel, hydrate, recovery, reports, scoring, selection, serving, store
+from postfunnel.operators import funnel, hydrate, numbering, recovery, reports, scoring, selection, serving, store
 from postfunnel.operators.numbering import with_position
 from postfunnel.policy import BoardPolicy, PolicyError, Profile, policy_frame, profile_from
 from postfunnel.schema import as_posting
@@ -330,3 +330,53 @@ def test_policy_frame_of_many_boards_is_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(policies, "MAX_BROADCAST_BOARDS", 1)
     boards = [BoardPolicy(str(n), 1, 1, 1, 1.0) for n in range(2)]
     assert "ResolvedHint" not in policy_frame(spark, boards)._jdf.queryExecution().analyzed().toString()
+
+
+def test_scores_and_asks_as_scorers_send_them(spark):
+    asks = ['{"kind": " degree ", "mandatory": 1, "detail": 5}', '"junk"', "7", "null", '{"kind": 3, "mandatory": true}', '{"mandatory": true}',
+            '{"kind": "references", "mandatory": "false", "detail": ["a"]}', '{"kind": "equipment", "mandatory": "", "detail": null}',
+            '{"kind": "test_task", "mandatory": []}', '{"kind": "video_intro", "mandatory": 0.0}', '{"kind": "certification", "mandatory": {"a": 1}}']
+    body = (f'[{{"i": 0, "score": 87.5, "requirements": [{", ".join(asks)}]}}, {{"i": 1, "score": "60", "requirements": "none"}},'
+            ' {"i": 2, "score": "high", "requirements": {"kind": "degree"}}, {"i": 3, "score": -0.5}]')
+    answers = spark.createDataFrame([(0, body)], "batch long, body string")
+    found = {r.i: r.result for r in scoring.parse_responses(answers).collect()}
+    assert [found[n].score for n in range(4)] == [87, 60, None, 0]
+    assert [(a.kind.strip(), a.mandatory) for a in found[0].requirements] == [
+        ("degree", True), ("3", True), ("references", True), ("equipment", False), ("test_task", False), ("video_intro", False), ("certification", True)]
+    assert found[0].requirements[0].detail == "5" and found[0].requirements[3].detail is None
+    assert not found[1].requirements and not found[2].requirements
+
+
+def test_a_missing_state_is_no_total(spark):
+    when = dt.datetime(2026, 9, 3)
+    jobs = spark.createDataFrame([("a", "x", when), ("a", None, when), ("b", None, when)], "source string, state string, posted_at timestamp")
+    windows = spark.createDataFrame([], "source string, max_age_days int")
+    found = reports.triage_tally(jobs, windows, F.lit(dt.datetime(2026, 9, 4)))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(
+        [("(all)", "(all)", 3), ("a", "(all)", 2), ("a", None, 1), ("a", "x", 1), ("b", "(all)", 1), ("b", None, 1)], key=str)
+
+
+def test_two_copies_in_a_batch_and_rows_without_a_part(spark, tmp_path):
+    table = store.VersionedTable(spark, str(tmp_path / "t"), F.col("board"))
+    rows = [("a", "x", 1), ("a", "x", 2), ("b", None, 1), ("c", "y", 3)]
+    for _ in range(2):
+        table.upsert(spark.createDataFrame(rows, "uid string, board string, n int"), store.upsert_rows)
+        assert sorted(map(tuple, table.read().select("uid", "board", "n").collect()), key=str) == [("a", "x", 2), ("b", None, 1), ("c", "y", 3)]
+    table.upsert(spark.createDataFrame([("b", None, 5)], "uid string, board string, n int"), store.upsert_rows)
+    assert sorted((r.uid, r.n) for r in table.read().collect()) == [("a", 2), ("b", 5), ("c", 3)]
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 7])
+def test_order_over_several_columns(spark, partitions):
+    rows = [(f"f{n // 100:02d}", n // 10 % 10, n % 10, n) for n in range(1, 1000, 3)]
+    frame = spark.createDataFrame(rows[::-1], "file string, page int, pos int, n int").repartition(partitions)
+    found = numbering.with_order(frame, "file", "page", "pos").orderBy("arrival").collect()
+    assert [r.n for r in found] == [r[3] for r in rows] and [r.arrival for r in found] == list(range(len(rows)))
+    assert numbering.with_order(frame.limit(0), "file", "page").count() == 0
+
+
+def test_all_mistakes_of_a_settings_file_are_told():
+    settings = {"identity": {}, "regions": {}, "timezone": {}, "roles": {"exclude": ["("]}, "rate": {"target_hourly_usd": 5, "absolute_floor_hourly_usd": 20},
+                "deliverables": {"cannot_provide": ["degree", "degre"], "needs_manual_step": ["degree"]}, "boards": {"a": 3}}
+    assert [where for where, _ in policies.violations(settings)] == [
+        "scoring", "rate", "roles.exclude", "deliverables.cannot_provide", "deliverables", "boards.a"]

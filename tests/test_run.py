@@ -86,3 +86,30 @@ def test_a_board_without_a_policy_stops_the_run(spark, tmp_path):
     rows = postings(spark, ["dev"]).withColumn("source", F.lit("west"))
     with pytest.raises(PolicyError, match="west"):
         plan.run(spark, rows, profile_from(SETTINGS), now(), plan.RunStore(spark, str(tmp_path / "s")))
+
+
+def test_failures_of_boards_and_of_the_run_are_kept(spark, tmp_path):
+    import pytest
+
+    kept = plan.RunStore(spark, str(tmp_path / "s"))
+    status = spark.createDataFrame([("north", True, None), ("south", False, "no such folder")], "source string, ok boolean, error string")
+    plan.run(spark, postings(spark, ["dev"]), profile_from(SETTINGS), now(), kept, status=status)
+    with pytest.raises(plan.NoSource, match="south: no such folder"):
+        plan.run(spark, postings(spark, []), profile_from(SETTINGS), now(), kept, status=status.where("NOT ok"))
+
+    def broken(batches):
+        raise ValueError("the scorer is away")
+
+    with pytest.raises(ValueError, match="away"):
+        plan.run(spark, postings(spark, ["dev", "more"]), profile_from(SETTINGS), now(), kept, scorer=broken)
+    ledger = kept.ledger().orderBy("run_id").collect()
+    assert [(r.ok, r.error) for r in ledger] == [
+        (True, "south: no such folder"), (False, "NoSource: every source failed: south: no such folder"), (False, "ValueError: the scorer is away")]
+    assert all(r.finished_at > r.started_at for r in ledger)
+
+
+def test_of_two_copies_in_a_run_the_later_one_is_stored(spark, tmp_path):
+    kept = plan.RunStore(spark, str(tmp_path / "s"))
+    rows = postings(spark, ["dev", "old", "x", "new"]).withColumn("uid", F.when(F.col("arrival") % 2 == 1, "north:1").otherwise(F.col("uid")))
+    plan.run(spark, rows, profile_from(SETTINGS), now(), kept)
+    assert sorted((r.uid, r.title) for r in kept.jobs.read().collect()) == [("north:1", "new"), ("south:0", "dev"), ("south:2", "x")]

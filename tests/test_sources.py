@@ -2,12 +2,13 @@
 
 import datetime as dt
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from postfunnel.plans import sample
-from postfunnel.sources import boards, capture, cards, feed, pages, readers  # noqa: F401
+from postfunnel.sources import boards, capture, cards, feed, files, markup, pages, readers  # noqa: F401
 
 
 def at(text):
@@ -93,11 +94,46 @@ def test_cards(spark):
     first = found["77"]
     assert (first.title, first.company, first.categories) == ("Data & ETL", "Acme", ["Full Time"])
     assert first.url == "https://b/jobseekers/job/data-etl-77?x=1" and first.posted == dt.datetime(2026, 8, 30, 11, 54, 57)
-    assert first.description == "Stated pay: $7&ndash;\n\nJoin us\n today…"
+    assert first.description == "Stated pay: $7–\n\nJoin us\n today…"
     assert (first.salary_max, first.salary_period, first.location_restrictions) == (7 * 2080, "annual", ["Philippines"])
     assert (found["88"].salary_max, found["88"].salary_period, found["88"].categories) == (None, None, ["Gig"])
 
 
+CARD = "<div class='jobpost-cat-box'>%s</div>"
+
+
+@pytest.mark.parametrize("page, field, value", [
+    (CARD % """<img class=jobpost-cat-box-logo alt="Joe's Diner">""", "company", "Joe's Diner"),
+    (CARD % "<img alt='T &eacute; &#xe9; &#233; &amp;amp;' class='x jobpost-cat-box-logo'>", "company", "T é é é &amp;"),
+    (CARD % "<h4>A <b>b</b>c<i class='badge'>Gig <u>now</u></i> d</h4> e", "title", "A b c d"),
+    (CARD % "<h4>A <i class='badge'>Gig <u>now</u></i> d</h4> e", "job_type", "Gig now"),
+    (CARD % "<h4>A <i class='badges'>Gig</i></h4><b class='badge'>out</b>", "job_type", ""),
+    ("<a href='/x-1'><p><b>" + CARD % "<a href='/jobseekers/job/y-2'></a>", "href", "/x-1"),
+    ("<a href='/x-1'></a>" + CARD % "<a href='/other'></a><a href=/jobseekers/job/y-2>", "href", "/jobseekers/job/y-2"),
+    ("<a>" + CARD % "<a href='/jobseekers/job/y-2'>", "href", ""),
+    (CARD % "<!-- <h4>no</h4> --><script>var x = '<h4>no</h4>'</script><style>h4</style><h4>yes</h4>", "title", "yes"),
+    (CARD % "<dd class=col>a<dd>b</dd>", "pay", "a"),
+    (CARD % "<dd class=col>a</dd><dl class='row fs-14'><dd class='col'>b</dl>", "pay", "b"),
+    (CARD % "<dl class='row'><dd class='col'>a</dl>", "pay", "a"),
+    (CARD % "<p data-temp-2 = ' 2026-08-30 11:54:57 '>", "stamp", " 2026-08-30 11:54:57 "),
+    (CARD % "<div class=desc>a<div>b</div>&eacute; &lt;i&gt; <br/>c</div>d", "teaser", "a<div>b</div>é &lt;i&gt; <br/>c"),
+    (CARD % "<div class=desc>never closed <b>x", "teaser", "never closed <b>x"),
+    ("<DIV CLASS=JOBPOST-CAT-BOX></DIV>" + CARD % "<H4>up</H4>", "title", "up"),
+    (CARD % "<h4>1 < 2 & 3 > 2</h4>", "title", "1 < 2 & 3 > 2"),
+    (CARD % "<h4>x</h4" + "<", "title", "x <"),
+])
+def test_card_markup(page, field, value):
+    assert [c[field] for c in markup.cards(page)] == [value]
+
+
+def test_pages_without_an_end_are_read_in_linear_time():
+    start = "<div class='jobpost-cat-box'><h4>"
+    for rest in ('<a "' * 50_000, "<!--" * 50_000, "<b>" * 50_000 + "</i>" * 50_000, "<" * 100_000, "<a x=" * 50_000, "<a x='>" * 50_000):
+        begin = time.monotonic()
+        assert len(markup.cards(start + rest)) == 1
+        assert time.monotonic() - begin < 5
+
+
 @pytest.mark.parametrize("html, body", [
     ('<div id="job-description"><p>All <div>of</div> it</p></div><div>not this</div>', "All of\n it"),
     ("<section class='a job-description b'>text</section>", "text"),
@@ -166,3 +202,54 @@ def test_capabilities_default(spark):
         spark.createDataFrame([("machinery",), ("building",), ("other",)], "source string"), sample.capabilities(spark))
     assert rows_of(rows, "source", "regions_authoritative", "salary_authoritative", "publishes_expiry") == [
         ("building", False, True, False), ("machinery", True, True, False), ("other", True, True, False)]
+
+
+def feed_folder(tmp_path):
+    def item(n):
+        return {**ITEM, "guid": f"g{n}"}
+
+    folder = tmp_path / "feed"
+    (folder / "sub").mkdir(parents=True)
+    (folder / "p1.json").write_text(json.dumps({"jobs": [item(1), item(2)]}, indent=2))
+    (folder / "p2.json").write_text("\n".join(json.dumps({"jobs": [item(n)]}) for n in (3, 4)) + "\n\n")
+    (folder / "p3.json").write_text(json.dumps({"jobs": [item(5)]}, indent=2)[:-30])
+    (folder / "p4.json").write_text(" \n")
+    (folder / "sub" / "p5.json").write_text(json.dumps({"jobs": [item(6)]}))
+    return str(folder)
+
+
+def test_feed_pages_over_many_lines_arrive_in_order(spark, tmp_path):
+    path = feed_folder(tmp_path)
+    want = [(0, "g1"), (1, "g2"), (2, "g3"), (3, "g4"), (4, "g6")]
+    for size in ("2k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        assert rows_of(feed.read_feed(spark, path), "arrival", "source_id") == want
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    states = {r.file.rsplit("/", 1)[1]: r.state for r in feed.file_states(spark, path).collect()}
+    assert states == {"p1.json": "read", "p2.json": "read", "p3.json": "bad", "p4.json": "empty", "p5.json": "read"}
+
+
+def test_boards_that_fail_do_not_cost_the_others(spark, tmp_path):
+    (tmp_path / "caps").mkdir()
+    (tmp_path / "caps" / "indeed-1.json").write_text("{broken")
+    inputs = [("indeed", str(tmp_path / "caps")), ("himalayas", feed_folder(tmp_path)), ("onlinejobs", str(tmp_path / "nowhere")), ("zz", "x")]
+    rows, status = boards.read_boards(spark, inputs, at("2026-08-20 00:00:00"), at("2026-09-04 00:00:00"))
+    assert rows_of(rows, "arrival", "source_id") == [(0, "g1"), (1, "g2"), (2, "g3"), (3, "g4"), (4, "g6")]
+    told = {r.source: r for r in status.collect()}
+    assert {b: r.ok for b, r in told.items()} == {"indeed": False, "himalayas": True, "onlinejobs": False, "zz": False}
+    feeds = told["himalayas"]
+    assert (feeds.files, feeds.read, feeds.bad, feeds.empty, feeds.error) == (5, 3, 1, 1, "1 of 5 files bad")
+    assert "nowhere" in told["onlinejobs"].error and "no source named" in told["zz"].error
+    assert boards.run_ok(status).first().ok
+    nothing, status = boards.read_boards(spark, [("zz", "x")], at("2026-08-20 00:00:00"), at("2026-09-04 00:00:00"))
+    assert nothing.count() == 0 and not boards.run_ok(status).first().ok
+
+
+def test_saved_result_pages_are_read_whole(spark, tmp_path):
+    for n in (2, 1):
+        page = "<html>\n" + card(f"/jobseekers/job/a-{n}0", PARTS.replace("><", ">\n<")) + "\n" + card(f"/jobseekers/job/b-{n}1", PARTS) + "</html>"
+        (tmp_path / f"page{n}.html").write_text(page)
+    (tmp_path / "page3.html").write_text("<html>changed</html>")
+    rows, status = boards.read_boards(spark, [("onlinejobs", str(tmp_path))], at("2026-08-20 00:00:00"), at("2026-09-04 00:00:00"))
+    assert rows_of(rows, "arrival", "source_id") == [(0, "10"), (1, "11"), (2, "20"), (3, "21")]
+    assert rows_of(status, "files", "read", "bad", "ok") == [(3, 2, 1, True)]
