@@ -2,7 +2,7 @@
 
 A document is a set of word shingles.  Every shingle's hash names one of
 ``REGISTERS`` buckets, and a bucket stores of the least second hash that fell
-into it the count of leading zeros and the next ``MANTISSA`` bits: 16 bits in
+into it the count of leading zeros and the next ``MANTISSA`` bits: 8 bits in
 place of 64.  Two sets' registers agree where the least shingle of their union
 is in both, that is with the chance of their Jaccard similarity, or where two
 different hashes look alike.
@@ -14,7 +14,7 @@ guest; two guests meet in their own class.
 
 ``ROWS`` registers in a row are a band, and the hash of its registers a
 signature.  A pair at the threshold of 0.8 shares one of the 64 bands but with a
-chance of (1 - 0.8**6)**64, 4 in 10**9, and a pair of 0.1 does so once in 16,000.
+chance of (1 - 0.8**6)**64, 4 in 10**9, and a pair of 0.1 does so once in 8,000.
 Pairs that share one get an estimate, the share of equal registers corrected
 for the expected chance agreements; one ``SPREAD`` standard deviations under the
 threshold (2 in 10**8 of the pairs at the threshold) is not looked at further.
@@ -36,21 +36,23 @@ from pyspark.sql import DataFrame, functions as F
 
 from postfunnel.llm.common import mix, slices, written
 from postfunnel.llm.jaccard import keyed_sets
-from postfunnel.llm.meet import PACKED, Packer, Similar, buckets_for, classes, groups_of, known_sets, settle
+from postfunnel.llm.meet import PACKED, Packer, Similar, buckets_for, classes, filtered, groups_of, known_sets, settle
 
 WORDS = 2
 PERCENT = 80
 ROWS = 6
 BANDS = 64
 REGISTERS = ROWS * BANDS
-MANTISSA = 10
+MANTISSA = 4
+#: Counts of leading zeros from this on are one, 4 bits hold them; a bucket needs 2**15 elements to get there.
+ZEROS = 15
 #: Shingles, or copies of them, that a bucket gets on average at least.
 FILL = 4
 SPREAD = 5.5
 LEAST = 4
 #: What no hash looks like: an empty bucket.
-EMPTY = 0xFFFF
-WIDE = 2 * REGISTERS
+EMPTY = 0xFF
+WIDE = REGISTERS
 _U = np.uint64
 
 
@@ -65,10 +67,10 @@ def copies(classes: np.ndarray) -> np.ndarray:
 
 
 def compressed(least: np.ndarray) -> np.ndarray:
-    """Leading zeros (6 bits) and the bits behind the first one, of 64-bit numbers."""
+    """Leading zeros and the bits behind the first one, of 64-bit numbers."""
     part, power = np.frexp((least >> _U(11)).astype(np.float64))
     bits = np.floor((2 * part - 1) * (1 << MANTISSA)).astype(np.int64)
-    return np.where(power > 0, (53 - power) << MANTISSA | bits, 53 << MANTISSA).astype(np.uint16)
+    return np.where(power > 53 - ZEROS, (53 - power) << MANTISSA | bits, ZEROS << MANTISSA).astype(np.uint8)
 
 
 def registers(sets: np.ndarray, bounds: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -106,7 +108,7 @@ def sketched(sets: np.ndarray, bounds: np.ndarray) -> list[bytes]:
             first = np.cumsum(size) - size
             own = sets[np.repeat(bounds[:-1][part] - first, size) + np.arange(size.sum())]
             for n, row in zip(part.tolist(), registers(own, np.append(first, size.sum()), classes[part] + up)):
-                out[n] += row.astype("<u2").tobytes()
+                out[n] += row.tobytes()
     return out
 
 
@@ -118,7 +120,7 @@ def signatures(sizes: np.ndarray, sketches: list[bytes]) -> tuple[np.ndarray, np
         at = np.flatnonzero([len(x) > up * WIDE for x in sketches])
         if not len(at):
             continue
-        own = np.frombuffer(b"".join([sketches[n][up * WIDE:(up + 1) * WIDE] for n in at.tolist()]), "<u2").reshape(len(at), BANDS, ROWS)
+        own = np.frombuffer(b"".join([sketches[n][up * WIDE:(up + 1) * WIDE] for n in at.tolist()]), np.uint8).reshape(len(at), BANDS, ROWS)
         hashed = mix((classes[at] + up).astype(_U)[:, None] * _U(0x9E3779B97F4A7C15) + np.arange(BANDS, dtype=_U))
         for row in range(ROWS):
             hashed = mix(hashed + own[:, :, row].astype(_U) + _U(1))
@@ -150,12 +152,12 @@ def _may(n_a, left, n_b, right):
 
 def _rows(sizes: np.ndarray, sketches: list[bytes], classes: np.ndarray) -> np.ndarray:
     """Each set's registers in the class given, empty where it has none there."""
-    out = np.full((len(sizes), REGISTERS), EMPTY, np.uint16)
+    out = np.full((len(sizes), REGISTERS), EMPTY, np.uint8)
     up = classes - set_class(sizes)
     for n, (x, step) in enumerate(zip(sketches, up.tolist())):
         part = x[step * WIDE:(step + 1) * WIDE] if 0 <= step <= 1 else b""
         if part:
-            out[n] = np.frombuffer(part, "<u2")
+            out[n] = np.frombuffer(part, np.uint8)
     return out
 
 
@@ -179,7 +181,7 @@ def _may_row(n, row, others, rows):
     return _may(float(n), row[None, :], others.astype(np.float64), rows)
 
 
-SIMILAR = Similar(PERCENT, (("sketch", _may_pair),), "sketch", _common, _matrix, _may_row)
+SIMILAR = Similar(PERCENT, (("sketch", _may_pair),), "sketch", _common, _matrix, _may_row, 2 * WIDE)
 
 
 def _sketches(size: int):
@@ -223,5 +225,5 @@ def near_duplicates(docs: DataFrame, size: int = WORDS) -> DataFrame:
     buckets = buckets_for(docs.sparkSession, 2 * BANDS * nodes.count())
     able = nodes.where(f"doc_id IS NOT NULL AND n_shingles >= {LEAST}").select("n_shingles", "key", "sketch")
     groups = groups_of(able.mapInArrow(_emit(buckets), PACKED), buckets)
-    known = known_sets(nodes, groups, "sketch")
+    known = known_sets(filtered(nodes, groups), groups, "sketch")
     return classes(nodes, settle(groups, known, docs, keyed_sets(size), SIMILAR))

@@ -58,7 +58,8 @@ class Similar(NamedTuple):
     of both sides) for pairs, the cheapest first.  For two blocks of sets,
     ``common`` finds (from sizes and sketches) in what form their sketches can be
     compared, ``matrix`` makes rows of that form, and ``may`` tells which rows may
-    be similar to one.
+    be similar to one.  ``width`` is a sketch's length in bytes, where all have the
+    same.
     """
 
     percent: int
@@ -67,6 +68,7 @@ class Similar(NamedTuple):
     common: Callable
     matrix: Callable
     may: Callable
+    width: int | None = None
 
     def sizes(self, n, others):
         """Which sizes allow the similarity."""
@@ -202,25 +204,30 @@ def _filter(rows) -> np.ndarray:
     return table.view(_U)
 
 
-def whole_sets(wanted: DataFrame, docs: DataFrame, sets_of: Callable) -> DataFrame:
-    """key and packed shingles of the sets whose key is ``wanted``, a few more beside them.
-
-    The wanted keys reach the tasks as a filter of fixed size, which only lets
-    through more than needed when it fills up.
-    """
+def key_filter(wanted: DataFrame):
+    """The keys ``wanted``, as a broadcast filter of fixed size, which only lets through more than needed when it fills up."""
     bit = F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1))
     # At most FILTER_BITS / 64 rows, whatever the number of keys.
     marks = wanted.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("bits"))
-    mask = docs.sparkSession.sparkContext.broadcast(_filter(marks.collect()))
+    return wanted.sparkSession.sparkContext.broadcast(_filter(marks.collect()))
+
+
+def passing(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys the filter lets through."""
+    at = keys & (FILTER_BITS - 1)
+    return (table[at >> 6] >> (at & 63).astype(_U) & _U(1)).astype(bool)
+
+
+def whole_sets(wanted: DataFrame, docs: DataFrame, sets_of: Callable) -> DataFrame:
+    """key and packed shingles of the sets whose key is ``wanted``, a few more beside them."""
+    mask = key_filter(wanted)
 
     def run(batches):
         table, seen = mask.value, set()
         for batch in batches:
             for part in slices(batch, "text"):
                 sets, bounds, keys = sets_of(part.column("text"))
-                at = keys & (FILTER_BITS - 1)
-                some = np.flatnonzero(table[at >> 6] >> (at & 63).astype(_U) & _U(1)).tolist()
-                some = [n for n in some if keys[n] not in seen and not seen.add(keys[n])]
+                some = [n for n in np.flatnonzero(passing(table, keys)).tolist() if keys[n] not in seen and not seen.add(keys[n])]
                 if some:
                     yield pa.RecordBatch.from_pydict({
                         "key": pa.array(keys[some]), "set": pa.array([packed(sets[bounds[n]:bounds[n + 1]]) for n in some], pa.binary())})
@@ -351,16 +358,17 @@ def _gathered(members: DataFrame) -> DataFrame:
     return members.join(least, "name").drop("name").withColumnRenamed("to", "name").distinct()
 
 
-def _blocked(members: DataFrame, data: DataFrame) -> DataFrame:
+def _blocked(members: DataFrame, data: DataFrame, width: int | None = None) -> DataFrame:
     """Pairs of blocks of a group's sets, as name, same, left and right.
 
     ``members`` has name, key and root, ``data`` has key, n and data.  A group is
-    dealt to as many blocks as its sets and their bytes need; the pairs of a group
-    grow with the square of its blocks, not of its sets.
+    dealt to as many blocks as its sets and their bytes (``width`` each, or as they
+    come) need; the pairs of a group grow with the square of its blocks, not of its sets.
     """
     rows = members.join(data, "key")
-    need = F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("data")) / BLOCK_BYTES)
-    several = written(rows.groupBy("name").agg(F.ceil(need).alias("parts")).where("parts > 1"), "large-groups")
+    size = F.count("*") * width if width else F.sum(F.octet_length("data"))
+    need = F.greatest(F.count("*") / BLOCK, size / BLOCK_BYTES)
+    several = written((members if width else rows).groupBy("name").agg(F.ceil(need).alias("parts")).where("parts > 1"), "large-groups")
     block = F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1)))
     blocks = rows.join(several, "name", "left").groupBy("name", block.alias("block")).agg(F.collect_list(F.struct("key", "root", "n", "data")).alias("sets"))
     blocks = written(blocks, "blocks")
@@ -397,7 +405,7 @@ def settle(groups: DataFrame, known: DataFrame, docs: DataFrame, sets_of: Callab
     open_names = members.groupBy("name").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("name")
     members = written(_gathered(members.join(open_names, "name", "left_semi")), "open-groups")
     data = known.select("key", "n", F.col(similar.sketch).alias("data"))
-    found = _blocked(members, data).mapInArrow(_candidates(similar), "name long, key long").distinct()
+    found = _blocked(members, data, similar.width).mapInArrow(_candidates(similar), "name long, key long").distinct()
     found = written(_gathered(found), "candidates")
     if found.isEmpty():
         return roots
@@ -408,6 +416,17 @@ def settle(groups: DataFrame, known: DataFrame, docs: DataFrame, sets_of: Callab
     return written(joined(roots, links), "roots")
 
 
+def filtered(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``nodes`` whose sets stand in groups, a few more beside them: spares shuffling the others' sketches."""
+    mask = key_filter(groups.select(F.explode("keys").alias("key")))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(passing(mask.value, batch.column("key").to_numpy())))
+
+    return nodes.mapInArrow(run, nodes.schema)
+
+
 def known_sets(nodes: DataFrame, groups: DataFrame, *sketches: str) -> DataFrame:
     """key, n and sketches of the different sets that stand in groups; ``nodes`` has a row for each text."""
     sets = nodes.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key").agg(

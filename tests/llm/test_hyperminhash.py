@@ -69,16 +69,12 @@ def test_families_about_the_threshold(spark, monkeypatch, block):
 
 def test_compressed_keeps_zeros_and_the_bits_behind():
     r = np.random.default_rng(1)
-    values = r.integers(0, 2 ** 64, 2000, dtype=np.uint64) >> r.integers(0, 50, 2000).astype(np.uint64)
+    values = r.integers(0, 2 ** 64, 2000, dtype=np.uint64) >> r.integers(0, 20, 2000).astype(np.uint64)
     for x, got in zip(values.tolist(), hm.compressed(values).tolist()):
-        x = x >> 11 << 11  # what is below counts as nothing
         zeros = 64 - x.bit_length()
         bits = (x << zeros + 1 & (1 << 64) - 1) >> 64 - hm.MANTISSA
-        assert got == (zeros << hm.MANTISSA | bits if zeros < 53 else 53 << hm.MANTISSA)
-    order = np.sort(values[values >> np.uint64(11) > 0])
-    scale = hm.compressed(order).astype(int)
-    zeros, bits = scale >> hm.MANTISSA, scale & (1 << hm.MANTISSA) - 1
-    assert (np.diff(((64 - zeros) << hm.MANTISSA) + bits) >= 0).all()
+        assert got == (zeros << hm.MANTISSA | bits if zeros < hm.ZEROS else hm.ZEROS << hm.MANTISSA) != hm.EMPTY
+    assert hm.compressed(np.zeros(1, np.uint64))[0] == hm.ZEROS << hm.MANTISSA
 
 
 @pytest.mark.parametrize("size", [5, 40, 300, 5000])
