@@ -32,9 +32,49 @@ from postfunnel.llm.common import hash_spans, slices, word_spans, worker_state,
 
 SLICE = 4 << 20
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words a worker keeps the ids of: those met since the last turn, and as many from before it.
-CACHE = 200_000
+#: Words a worker keeps the ids of, some 20 bytes each: those met since the last turn, and as many from before it.
+CACHE = 1_500_000
 JOINED = 256
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
+def _gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``pool`` that start at ``starts``, end to end."""
+    ends = np.cumsum(sizes)
+    return pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class _Known:
+    """Ids of words by the words' hashes: sorted hashes, and for each the run of one pool that holds its ids."""
+
+    def __init__(self, kind):
+        self.keys, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+        self.pool = np.zeros(0, kind)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are known, and the place of those."""
+        at = np.searchsorted(self.keys, keys)
+        hit = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        hit[inside] = self.keys[at[inside]] == keys[inside]
+        return hit, at[hit]
+
+    def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.sizes[at].astype(np.int64)
+        return _gather(self.pool, self.starts[at].astype(np.int64), sizes), sizes
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        starts = len(self.pool) + np.cumsum(sizes) - sizes
+        merged = np.concatenate((self.keys, keys))
+        order = np.argsort(merged, kind="stable")
+        self.keys = merged[order]
+        self.starts = np.concatenate((self.starts, starts.astype(np.uint32)))[order]
+        self.sizes = np.concatenate((self.sizes, sizes.astype(np.uint32)))[order]
+        self.pool = np.concatenate((self.pool, ids))
+
+    def full(self) -> bool:
+        return len(self.keys) > CACHE or len(self.pool) > 8 * CACHE
 
 
 class _Encoder:
@@ -52,65 +92,81 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[int, bytes] = {}
-        self.before: dict[int, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """The ids of each word; words of letters, with or without a mark at the end, go through many at a time."""
-        out: list[bytes] = [b""] * len(words)
-        plain = []
-        for n, w in enumerate(words):
-            stem = w[:-1] if w[-1] in ".," else w
-            if stem.isalpha() and stem.lower().isalpha():  # letters are one piece, a mark after them another
-                plain.append((n, 1 if stem is w else 2))
-            else:
-                out[n] = self._ids(w).tobytes()
-        for start in range(0, len(plain), JOINED):
-            part = plain[start:start + JOINED]
-            ids = self._ids(" ".join([words[n] for n, _ in part]))
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            last = np.cumsum([pieces for _, pieces in part]) - 1
-            if len(ends) == last[-1] + 1:
-                for (n, _), own in zip(part, np.split(ids, ends[last[:-1]])):
-                    out[n] = own.tobytes()
+        self.kind = np.uint16 if len(self.ends) <= 1 << 16 else np.uint32
+        self.known, self.before = _Known(self.kind), _Known(self.kind)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words end to end and each word's number of ids.
+
+        Words of ASCII letters, with or without a mark at the end, go through many at a time.
+        """
+        blob = data.tobytes()
+        letters = np.concatenate(([0], np.cumsum(_LETTER[data])))
+        marked = np.isin(data[ends - 1], [44, 46]) & (ends - starts > 1)
+        plain = letters[ends] - letters[starts] == ends - starts - marked
+        words = [blob[a:z].decode("utf-8") for a, z in zip(starts.tolist(), ends.tolist())]
+        sizes = np.zeros(len(words), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []  # places of words, their ids end to end
+        odd = [np.flatnonzero(~plain)]
+        smooth = np.flatnonzero(plain)
+        for at in range(0, len(smooth), JOINED):
+            part = smooth[at:at + JOINED]
+            ids = np.array(self._ids([" ".join([words[n] for n in part.tolist()])])[0], self.kind)
+            last = np.flatnonzero(self.ends[ids]) + 1
+            pieces = np.cumsum(1 + marked[part])  # letters are one piece, a mark after them another
+            if len(last) == pieces[-1]:
+                sizes[part] = np.diff(last[pieces - 1], prepend=0)
+                found.append((part, ids))
             else:
-                for n, _ in part:
-                    out[n] = self._ids(words[n]).tobytes()
-        return out
+                odd.append(part)
+        rest = np.concatenate(odd)
+        for at in range(0, len(rest), JOINED):
+            part = rest[at:at + JOINED]
+            lists = self._ids([words[n] for n in part.tolist()])
+            sizes[part] = [len(x) for x in lists]
+            found.append((part, np.array([i for x in lists for i in x], self.kind)))
+        order = np.concatenate([part for part, _ in found] or [np.zeros(0, np.int64)])
+        pool = np.concatenate([ids for _, ids in found] or [np.zeros(0, self.kind)])
+        place = np.empty(len(words), np.int64)
+        place[order] = np.cumsum(sizes[order]) - sizes[order]
+        return _gather(pool, place, sizes), sizes
+
+    def _look_up(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different words end to end and each word's number of ids."""
+        if self.known.full():
+            self.before, self.known = self.known, _Known(self.kind)
+        hit, at = self.known.find(keys)
+        late = np.flatnonzero(~hit)
+        older, place = self.before.find(keys[late])
+        fresh = late[~older]
+        parts = [(np.flatnonzero(hit), *self.known.ids(at)), (late[older], *self.before.ids(place)),
+                 (fresh, *self._encode_words(data, starts[fresh], ends[fresh]))]
+        order = np.concatenate([p[0] for p in parts])
+        pool = np.concatenate([p[1] for p in parts])
+        sizes, begin = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        sizes[order] = np.concatenate([p[2] for p in parts])
+        begin[order] = np.cumsum(sizes[order]) - sizes[order]
+        self.known.add(keys[late], _gather(pool, begin[late], sizes[late]), sizes[late])
+        return _gather(pool, begin, sizes), sizes
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
         data, starts, ends, bounds = word_spans(texts)
         keys, first, word = np.unique(hash_spans(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) > CACHE:
-            self.before, self.known = self.known, {}
-        names, known, before = keys.tolist(), self.known, self.before
-        found = [known.get(k) for k in names]
-        late = []
-        for n, ids in enumerate(found):
-            if ids is None:
-                found[n] = known[names[n]] = before.get(names[n])
-                if found[n] is None:
-                    late.append(n)
-        at = first[late]
-        fresh = self._encode_words([data[a:z].tobytes().decode("utf-8") for a, z in zip(starts[at].tolist(), ends[at].tolist())])
-        for n, ids in zip(late, fresh):
-            found[n] = known[names[n]] = ids
-        sizes = np.array([len(x) for x in found], np.int64) // 4
-        pool = np.frombuffer(b"".join(found), "<u4")
-        length = sizes[word] if len(word) else np.zeros(0, np.int64)
+        pool, sizes = self._look_up(keys, data, starts[first], ends[first])
+        length = sizes[word]
         place = np.concatenate(([0], np.cumsum(length)))
-        flat = pool[np.repeat((np.cumsum(sizes) - sizes)[word] - place[:-1], length) + np.arange(place[-1])] if len(word) else pool
+        flat = _gather(pool, (np.cumsum(sizes) - sizes)[word], length).astype("<u4")
         out = [flat[place[a]:place[z]] for a, z in zip(bounds[:-1], bounds[1:])]
         # The hashes drop case, special tokens do not.
         for n in pc.indices_nonzero(pc.fill_null(pc.match_substring(texts, "<|"), False)).to_pylist():
-            out[n] = self._ids(texts[n].as_py())
+            out[n] = np.array(self._ids([texts[n].as_py()])[0], "<u4")
         return out
 
 

@@ -347,6 +347,21 @@ def test_packing_round_trip(spark):
     assert packing.pack(packing.cut(edge_frame(spark, []), queries.vocabulary())).count() == 0
 
 
+def test_kept_words_turn_over(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "CACHE", 40)
+    own, rng = packing._Encoder(queries.vocabulary()), np.random.default_rng(5)
+    odd = ["a", "Don't", "x.", "...", ".", "état,", "naïve", "İstanbul", "ß.", "3.14", "日本", "e\u0301", "<|endoftext|>", "B2B", "z,", "word.word", "\u200b"]
+    for _ in range(30):
+        picked = rng.integers(0, 120, 60).tolist()
+        texts = [" ".join(odd[p] if p < len(odd) else f"W{chr(97 + p % 26)}{chr(97 + p % 7)}{chr(97 + p // 26)}"[:2 + p % 3] + (".", "", ",")[p % 3]
+                          for p in picked[a:a + 20]) for a in (0, 20, 40)] + [None, "", " \n\t"]
+        whole = [own.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in own.encode(pa.array(texts, pa.string()))] == whole
+    assert len(own.known.keys) <= 40 + 120 and len(own.before.keys) > 40
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_best_fit_obeys_every_capacity(rule):
     own = np.random.default_rng(1)
