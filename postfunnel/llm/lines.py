@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from postfunnel.functions.text import let
 from postfunnel.llm.common import written
 
 #: What is stripped at both ends of a line: ASCII white space.
@@ -52,7 +53,8 @@ def frequent_lines(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
 def drop_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """The rows of ``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped`` added."""
     shared = written(frequent_lines(docs, min_docs, min_chars), "frequent-lines")
-    lines = docs.select(*_row("_k"), F.posexplode(split_lines(F.col("text"))).alias("_at", "_line"))
+    # A select of its own: beside the explode, the whole text would be hashed again for each of its lines.
+    lines = docs.select(*_row("_k"), "text").select("_k1", "_k2", F.posexplode(split_lines(F.col("text"))).alias("_at", "_line"))
     dropped = (
         lines.withColumn("_line", line_key(F.col("_line"))).where(F.length("_line") >= min_chars)
         .select("_k1", "_k2", "_at", _hash(F.col("_line")).alias("h"))
@@ -61,9 +63,10 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -
     )
     own = docs.select(*[F.col(f"`{c}`").alias(f"in_{n}") for n, c in enumerate(docs.columns)], F.col("text").alias("_text"), *_row("_k"))
     placed = own.join(dropped, ["_k1", "_k2"], "left")
-    kept = F.when(F.col("_gone").isNull(), F.coalesce("_text", F.lit(""))).otherwise(F.array_join(F.filter(
-        F.transform(split_lines(F.col("_text")), lambda line, at: F.when(F.array_contains("_gone", at), None).otherwise(line)),
-        lambda line: line.isNotNull()), "\n"))
+    # Places are taken out by a hash set, once per text, however many go.
+    left = let(split_lines(F.col("_text")), lambda own_lines: F.array_join(F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(own_lines) - F.lit(1)), F.col("_gone")), lambda at: F.get(own_lines, at)), "\n"))
+    kept = F.when(F.col("_gone").isNull(), F.coalesce("_text", F.lit(""))).otherwise(left)
     added = {"kept_text": kept, "n_lines": F.size(split_lines(F.col("_text"))).cast("long"),
              "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
     return placed.select(

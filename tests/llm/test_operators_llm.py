@@ -55,6 +55,14 @@ def test_line_dedup_keeps_other_columns_and_takes_an_empty_table(spark):
     assert lines.drop_shared_lines(edge_frame(spark, [])).count() == 0
 
 
+def test_line_dedup_of_many_dropped_lines(spark):
+    own = F.transform(F.sequence(F.lit(0), F.lit(79_999)), lambda n: F.when(n % 40_000 == 7, F.concat_ws(" ", F.lit("own"), "doc_id", n)).otherwise(
+        F.concat_ws(" ", F.lit("shared"), n)))
+    docs = spark.range(10).withColumnRenamed("id", "doc_id").withColumn("text", F.array_join(own, "\n"))
+    out = sorted(map(tuple, lines.drop_shared_lines(docs).select("doc_id", "n_lines", "n_dropped", "kept_text").collect()))
+    assert out == [(n, 80_000, 79_998, f"own {n} 7\nown {n} 40007") for n in range(10)]
+
+
 def test_jaccard_matches_brute_force_on_edges(spark):
     rows = edge_docs()
     got = jaccard.near_duplicates(edge_frame(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()
