@@ -393,6 +393,9 @@ def test_sharding(spark):
     assert brute.jump_hash_moves([r["shard"] for r in out], [r["grown_shard"] for r in out], 40)
     many = spark.range(20_000).select(*[shards.jump(F.col("id"), n).alias(f"s{n}") for n in (1, 7, 8, 40)]).toPandas()
     assert set(many.s1) == {0} and brute.jump_hash_moves(many.s7, many.s8, 7)
+    for n in (1, 7, 8, 9, 24, 300):
+        moved = spark.range(5_000).select(shards.jumps(F.col("id"), n).alias("j"), shards.jump(F.col("id"), n + 1).alias("more"))
+        assert moved.where("NOT j.done OR j.grown <> more OR j.shard NOT BETWEEN 0 AND {0} - 1 OR j.grown <> j.shard AND j.grown <> {0}".format(n)).isEmpty()
     assert 0.1 < (many.s8 == 7).mean() < 0.15 and 400 < many.s40.value_counts().min() <= many.s40.value_counts().max() < 600
 
 
