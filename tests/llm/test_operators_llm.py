@@ -330,6 +330,42 @@ def test_seating_is_within_bounds():
     assert (tables >= 1).all() and (tables <= customers).all() and tables[0] == 1 and 1 < tables[4] < 50_000
 
 
+def test_seating_follows_the_restaurant():
+    """Tables of 6 customers against all ways to seat them, one after the other."""
+    discount, weights = 0.4, [0.0, 0.7, 0.9, 1.1, 1.3, 1.5]
+    ways = {(1,): 1.0}
+    for _ in range(5):
+        more = collections.Counter()
+        for tables, p in ways.items():
+            for k, size in enumerate(tables):
+                more[tables[:k] + (size + 1,) + tables[k + 1:]] += p * (size - discount)
+            more[tables + (1,)] += p * weights[len(tables)]
+        ways = more
+    want = np.zeros(7)
+    for tables, p in ways.items():
+        want[len(tables)] += p
+    n = 200_000
+    got = lm.seat(np.full(n, 6), lambda rows, t: np.full(len(rows), weights[int(np.max(t))]), discount, np.random.default_rng(1))
+    assert np.abs(np.bincount(got, minlength=7) / n - want / want.sum()).max() < 0.005
+
+
+def test_lm_tells_words_before_apart(spark):
+    """Whole words are contexts: two that end alike are followed by different words."""
+    text = "xxend a yyend b " * 20
+    rows = [(n, text) for n in range(30)] + [(n, "a b c") for n in range(30, 33)]
+    probe = ["xxend a", "xxend b", "yyend a", "yyend b"]
+    docs = edge_frame(spark, rows + [(1000 + n, t) for n, t in enumerate(probe)])
+    got = {r["doc_id"]: r for r in lm.score_texts(docs, F.col("doc_id") >= 1000, bucket_bytes=300).collect()}
+    score = [got[1000 + n]["score"] for n in range(len(probe))]
+    assert score[0] > score[1] + 1 and score[3] > score[2] + 1
+
+
+def test_lm_held_out_perplexity(spark):
+    """Contexts of the whole word before reached 3,058 in a plain count; classes of words 5,423."""
+    got = queries.lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("n_tokens")).first()
+    assert 10 ** (-got[0] / got[1]) < 3058
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
