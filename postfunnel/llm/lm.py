@@ -53,11 +53,13 @@ SWEEPS = 3
 BURN_IN = 1
 EXACT = 64
 CONCENTRATION = 1.0
-FLUSH = 1_500_000
+FLUSH = 800_000
 BUCKET_BYTES = 24 << 20
 #: Cells whose tokens go with their texts, and the sample they are chosen from.
 HEAD = 1 << 17
 SAMPLE_BYTES = 32 << 20
+#: Words of head cells that are sent as two bytes; others as this number and their hash.
+OTHER = 0xFFFF
 END = 0x1F123BB5159A55E5
 START = 0x5851F42D4C957F2D
 _U = np.uint64
@@ -99,10 +101,11 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], _NAMES)
 
 
-def _tail_rows(token, context, cell, doc, docs, buckets):
+def _tail_rows(token, context, cell, doc, docs, codes, buckets):
     bucket = _place(cell, buckets)
     order = np.argsort(bucket * len(docs) + doc, kind="stable")
     bucket, doc, token, context = bucket[order], doc[order], token[order], context[order]
+    codes = [c[order] for c in codes]
     run = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1])]) if len(doc) else np.zeros(0, np.int64)
     count = np.diff(np.r_[run, len(doc)]).astype("<u4")
     # The last bit of the number says whether the text is held out.
@@ -113,7 +116,7 @@ def _tail_rows(token, context, cell, doc, docs, buckets):
         a, z = edge[b], edge[b + 1]
         if a < z:
             yield (b, _TAIL, uid[of_run[b]:of_run[b + 1]].tobytes(), count[of_run[b]:of_run[b + 1]].tobytes(),
-                   token[a:z].tobytes(), context[a:z].tobytes(), b"")
+                   *(c[a:z].tobytes() for c in codes), b"".join(x[a:z][c[a:z] == OTHER].tobytes() for x, c in zip((token, context), codes)))
 
 
 def _head_rows(code, doc, docs, head, buckets):
@@ -148,12 +151,14 @@ def _emit(buckets: int, sent):
             token, context = (np.concatenate([h[n] for h in held]) for n in (0, 1))
             doc, docs = np.concatenate([h[2] + s for h, s in zip(held, start)]), np.concatenate([h[3] for h in held])
             cell = cell_of(token, context)
+            words = head.code(token)
+            before = np.where(context == _U(START), head.code(np.array([START], _U)), np.roll(words, 1))
             code = head.find(cell)
             often = code >= 0
             docs["n"] = np.bincount(doc, minlength=len(docs))
             docs["n_head"] = np.bincount(doc[often], minlength=len(docs))
             code = code[often]
-            return _batch([*_tail_rows(token[~often], context[~often], cell[~often], doc[~often], docs, buckets),
+            return _batch([*_tail_rows(token[~often], context[~often], cell[~often], doc[~often], docs, (words[~often], before[~often]), buckets),
                            *_head_rows(code, doc[often], docs, head, buckets), *_doc_rows(code, doc[often], docs, buckets)])
 
         for batch in batches:
@@ -176,11 +181,29 @@ def _emit(buckets: int, sent):
 
 
 class Head:
-    """The commonest cells, in the order of their hashes."""
+    """The commonest cells, in the order of their hashes, and their words.  Cells are given commonest first."""
 
     def __init__(self, token: np.ndarray, context: np.ndarray):
         cell, first = np.unique(cell_of(token, context), return_index=True)
         self.cell, self.token, self.context = cell, token[first], context[first]
+        words, first = np.unique(np.stack((token, context), axis=1).ravel(), return_index=True)
+        self.words = np.sort(words[np.argsort(first)[:OTHER]])
+
+    def code(self, token: np.ndarray) -> np.ndarray:
+        """The words' two bytes."""
+        if not len(self.words):
+            return np.full(len(token), OTHER, "<u2")
+        at = np.minimum(np.searchsorted(self.words, token), len(self.words) - 1)
+        return np.where(self.words[at] == token, at, OTHER).astype("<u2")
+
+    def decode(self, code: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words of two bytes, and what is left of the others' hashes."""
+        other = code == OTHER
+        n = int(other.sum())
+        out = np.empty(len(code), _U)
+        out[other] = others[:n]
+        out[~other] = self.words[code[~other]]
+        return out, others[n:]
 
     def find(self, cell: np.ndarray) -> np.ndarray:
         """The number of each cell, or -1."""
@@ -239,8 +262,9 @@ class Bucket:
             if kind == _TAIL:
                 uid.append(np.frombuffer(a, "<i8"))
                 counts.append(np.frombuffer(b, "<u4"))
-                word.append(np.frombuffer(c, _U))
-                context.append(np.frombuffer(d, _U))
+                own, left = head.decode(np.frombuffer(c, "<u2"), np.frombuffer(e, _U))
+                word.append(own)
+                context.append(head.decode(np.frombuffer(d, "<u2"), left)[0])
             elif kind == _HEAD:
                 codes.append(np.frombuffer(a, "<u4"))
                 times.append(np.frombuffer(b, "<u4"))
