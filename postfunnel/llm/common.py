@@ -20,6 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from postfunnel.session import shared_dir
 
 SLICE_BYTES = 1 << 20
+#: Bytes of text whose words are hashed at a time, or one longer word.
+HASH_BYTES = 1 << 16
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +36,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> SparkSession:
+    """Arrow batches bounded by bytes where the session bounds them by rows only: 10,000 rows may be all texts of a task."""
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, "4m")
+    return spark
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -88,7 +98,7 @@ _MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)]) & ~_BLA
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     state = worker_state()
     if len(getattr(state, "powers", ())) < n:
-        size = max(n, SLICE_BYTES)
+        size = max(n, HASH_BYTES)
         up, down = np.full(size, _STEP, np.uint64), np.full(size, pow(_STEP, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         state.powers, state.inverse = np.cumprod(up), np.cumprod(down)
@@ -117,11 +127,18 @@ def word_spans(column: pa.Array, marks: bool = True) -> tuple[np.ndarray, np.nda
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(len(data))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up)))
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """The words' numbers, a stretch of words at a time; words are given in order and do not overlap."""
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        first = starts[at]
+        stop = max(at + 1, int(np.searchsorted(ends, first + HASH_BYTES, "right")))
+        begin, end = starts[at:stop] - first, ends[at:stop] - first
+        up, down = _powers(int(end[-1]))
+        total = np.zeros(int(end[-1]) + 1, np.uint64)
+        np.cumsum(_BYTE[data[first:ends[stop - 1]]] * up, out=total[1:])
+        out[at:stop] = mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
+        at = stop
+    return out
 
 
 def word_hashes(column: pa.Array, marks: bool = True) -> tuple[np.ndarray, np.ndarray]:

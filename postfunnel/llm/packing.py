@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from postfunnel.llm.common import hash_spans, slices, word_spans, worker_state, written
 
-SLICE = 4 << 20
+SLICE = 2 << 20
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words a worker keeps the ids of, some 20 bytes each: those met since the last turn, and as many from before it.
 CACHE = 1_500_000
