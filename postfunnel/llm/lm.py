@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark import RDD, TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from postfunnel.llm.common import hash_spans, mix, slices, word_spans
+from postfunnel.llm.common import bound_batches, hash_spans, mix, slices, word_spans
 
 SWEEPS = 3
 BURN_IN = 1
@@ -96,6 +96,32 @@ def _place(key: np.ndarray, places: int) -> np.ndarray:
     return ((key & _U(0xFFFFFF)) * _U(places) >> _U(24)).astype(np.int64)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Numbers after a byte that says how: 0 as they are; else whole ones, none below 0, in so many bytes each."""
+    if values.dtype.kind == "f":
+        whole = values.astype(np.int64)
+        if not (whole == values).all() or (values < 0).any():
+            return b"\0" + values.astype("<f8").tobytes()
+        values = whole
+    top = int(values.max()) if len(values) else 0
+    size = next(n for n in (1, 2, 4, 8) if top < 1 << 8 * n)
+    return bytes([size]) + values.astype(f"<u{size}").tobytes()
+
+
+def unpacked(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}" if data[0] else "<f8", offset=1).astype(kind)
+
+
+def _alike(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each different value, and which of these every value is; as np.unique, but by a faster sort that keeps no order of equals."""
+    order = np.argsort(values)
+    ordered = values[order]
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][:len(values)])
+    at = np.empty(len(values), np.int64)
+    at[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(values)]))
+    return order[first], at
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], _NAMES)
@@ -103,19 +129,22 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _tail_rows(token, context, cell, doc, docs, codes, buckets):
     bucket = _place(cell, buckets)
-    order = np.argsort(bucket * len(docs) + doc, kind="stable")
+    # Texts are in order already; two bytes are sorted by counting.
+    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
     bucket, doc, token, context = bucket[order], doc[order], token[order], context[order]
     codes = [c[order] for c in codes]
     run = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1])]) if len(doc) else np.zeros(0, np.int64)
-    count = np.diff(np.r_[run, len(doc)]).astype("<u4")
-    # The last bit of the number says whether the text is held out.
-    uid = docs["uid"][doc[run]] << 1 | docs["held_out"][doc[run]]
+    count = np.diff(np.r_[run, len(doc)])
+    # The last bit of the number says whether the text is held out; numbers of a bucket rise, so steps are sent.
+    base = docs["uid"][:1]
+    uid = (docs["uid"][doc[run]] - base) << 1 | docs["held_out"][doc[run]]
     edge = np.searchsorted(bucket, np.arange(buckets + 1))
     of_run = np.searchsorted(run, edge)
     for b in range(buckets):
         a, z = edge[b], edge[b + 1]
         if a < z:
-            yield (b, _TAIL, uid[of_run[b]:of_run[b + 1]].tobytes(), count[of_run[b]:of_run[b + 1]].tobytes(),
+            own = slice(of_run[b], of_run[b + 1])
+            yield (b, _TAIL, base.tobytes() + packed(np.diff(uid[own], prepend=0)), packed(count[own]),
                    *(c[a:z].tobytes() for c in codes), b"".join(x[a:z][c[a:z] == OTHER].tobytes() for x, c in zip((token, context), codes)))
 
 
@@ -124,13 +153,13 @@ def _head_rows(code, doc, docs, head, buckets):
     codes, counts = np.unique(code[docs["held_out"][doc] == 0], return_counts=True)
     bucket = _place(head.cell, buckets)[codes]
     for b in np.unique(bucket).tolist():
-        yield b, _HEAD, codes[bucket == b].astype("<u4").tobytes(), counts[bucket == b].astype("<u4").tobytes(), b"", b"", b""
+        yield b, _HEAD, packed(np.diff(codes[bucket == b], prepend=0)), packed(counts[bucket == b]), b"", b"", b""
 
 
 def _doc_rows(code, doc, docs, buckets):
     """Texts with the cells of their head tokens, for the places where texts are added up."""
     target = (mix(docs["uid"].astype(_U)) % _U(buckets)).astype(np.int64)
-    order = np.argsort(target[doc], kind="stable")
+    order = np.argsort(target[doc].astype(np.uint16) if buckets <= 1 << 16 else target[doc], kind="stable")
     own, code = target[doc][order], code[order]
     rows = np.argsort(target, kind="stable")
     edge, of_row = np.searchsorted(own, np.arange(buckets + 1)), np.searchsorted(target[rows], np.arange(buckets + 1))
@@ -180,6 +209,26 @@ def _emit(buckets: int, sent):
     return run
 
 
+class Places:
+    """Where hashes stand among sorted ones: their highest bits tell the few places to look at."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = len(keys).bit_length() + 1
+        self.keys, self.shift = keys, _U(64 - bits)
+        self.start = np.searchsorted(keys, np.arange(1 << bits, dtype=_U) << self.shift)
+        self.most = int(np.diff(self.start, append=len(keys)).max())
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """The place of each value, or -1."""
+        out = np.full(len(values), -1)
+        at = np.minimum(self.start[values >> self.shift], len(self.keys) - 1)
+        for _ in range(self.most):
+            hit = np.flatnonzero(self.keys[at] == values)
+            out[hit] = at[hit]
+            at = np.minimum(at + 1, len(self.keys) - 1)
+        return out
+
+
 class Head:
     """The commonest cells, in the order of their hashes, and their words.  Cells are given commonest first."""
 
@@ -191,10 +240,7 @@ class Head:
 
     def code(self, token: np.ndarray) -> np.ndarray:
         """The words' two bytes."""
-        if not len(self.words):
-            return np.full(len(token), OTHER, "<u2")
-        at = np.minimum(np.searchsorted(self.words, token), len(self.words) - 1)
-        return np.where(self.words[at] == token, at, OTHER).astype("<u2")
+        return (self._places("words").find(token) & OTHER).astype("<u2")  # -1 becomes OTHER
 
     def decode(self, code: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The words of two bytes, and what is left of the others' hashes."""
@@ -207,10 +253,13 @@ class Head:
 
     def find(self, cell: np.ndarray) -> np.ndarray:
         """The number of each cell, or -1."""
-        if not len(self.cell):
-            return np.full(len(cell), -1)
-        at = np.minimum(np.searchsorted(self.cell, cell), len(self.cell) - 1)
-        return np.where(self.cell[at] == cell, at, -1)
+        return self._places("cell").find(cell)
+
+    def _places(self, of: str) -> Places:
+        """Made where it is first asked for, so it is not sent."""
+        if f"places_of_{of}" not in self.__dict__:
+            setattr(self, f"places_of_{of}", Places(getattr(self, of)))
+        return getattr(self, f"places_of_{of}")
 
 
 def _frequent(batches):
@@ -260,29 +309,29 @@ class Bucket:
         word, context, uid, counts, codes, times, self.totals = [], [], [], [], [], [], {}
         for _, (kind, a, b, c, d, e) in rows:
             if kind == _TAIL:
-                uid.append(np.frombuffer(a, "<i8"))
-                counts.append(np.frombuffer(b, "<u4"))
+                uid.append((np.frombuffer(a, "<i8", 1) << 1) + np.cumsum(unpacked(a[8:], "<i8")))
+                counts.append(unpacked(b, "<u4"))
                 own, left = head.decode(np.frombuffer(c, "<u2"), np.frombuffer(e, _U))
                 word.append(own)
                 context.append(head.decode(np.frombuffer(d, "<u2"), left)[0])
             elif kind == _HEAD:
-                codes.append(np.frombuffer(a, "<u4"))
-                times.append(np.frombuffer(b, "<u4"))
+                codes.append(np.cumsum(unpacked(a, "<i8")).astype("<u4"))
+                times.append(unpacked(b, "<u4"))
             else:
                 sweep, of, node = a
-                self.totals.setdefault((sweep, of), {})[node] = [np.frombuffer(x, "<f8") for x in (b, c, d, e) if x]
+                self.totals.setdefault((sweep, of), {})[node] = [x for x in (b, c, d, e) if x]
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         self.number, uid, self.counts = number, join(uid, "<i8"), join(counts, "<u4")
         self.uid = uid >> 1
         self.head = np.flatnonzero(_place(head.cell, buckets) == number)
         word, context = (np.concatenate((join(x, _U), y[self.head])) for x, y in ((word, head.token), (context, head.context)))
-        cell, first, at = np.unique(cell_of(word, context), return_index=True, return_inverse=True)
+        first, at = _alike(cell_of(word, context))
         learned = np.repeat(uid & 1 == 0, self.counts)
         self.at, self.at_head = at[:len(learned)], at[len(learned):]
-        self.count = np.bincount(self.at[learned], minlength=len(cell)).astype(np.int64)
+        self.count = np.bincount(self.at[learned], minlength=len(first)).astype(np.int64)
         codes = join(codes, "<u4")
         if len(codes):
-            self.count += np.bincount(self.at_head[np.searchsorted(self.head, codes)], join(times, "<u4"), len(cell)).astype(np.int64)
+            self.count += np.bincount(self.at_head[np.searchsorted(self.head, codes)], join(times, "<u4"), len(first)).astype(np.int64)
         word, context = word[first], context[first]
         self.several = np.flatnonzero(self.count > 1)
         self.own = {_CONTEXT: Keys(context, self.count, buckets), _WORD: Keys(word, self.count, buckets)}
@@ -291,7 +340,7 @@ class Bucket:
         """What nodes must know before any sweep: all keys, their customers, and their cells of one customer and of more."""
         for of, own in self.own.items():
             for p, part in own.parts():
-                yield p, (of, self.number, 0, own.keys[part].tobytes(), own.customers[part].tobytes(), own.ones[part].tobytes(), own.more[part].tobytes())
+                yield p, (of, self.number, 0, own.keys[part].tobytes(), packed(own.customers[part]), packed(own.ones[part]), packed(own.more[part]))
         yield 0, (_TWOS, self.number, 0, np.array([(self.count == 2).sum()], "<u8").tobytes(), b"", b"", b"")
 
     def message(self, sweep: int, model: "Model"):
@@ -302,13 +351,13 @@ class Bucket:
             total = np.bincount(own.at[self.several], tables, len(own.keys)).astype("<u4")
             for p, part in own.parts():
                 if own.more[part].any():
-                    yield p, (of, self.number, sweep, total[part][own.more[part] > 0].tobytes(), b"", b"", b"")
+                    yield p, (of, self.number, sweep, packed(total[part][own.more[part] > 0]), b"", b"", b"")
 
     def told(self, sweep: int, of: int) -> list[np.ndarray]:
         """What the nodes answered, node after node."""
         answers = self.totals.get((sweep, of), {})
         parts = [answers[p] for p in sorted(answers)]
-        return [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0)] * 3
+        return [np.concatenate([unpacked(p, "<f8") for p in x]) for x in zip(*parts)] if parts else [np.zeros(0)] * 3
 
     def sweeps(self, model: "Model", last: int):
         """Tables of the cells of several customers, before any sweep and after each."""
@@ -369,9 +418,9 @@ class Node:
             if of == _TWOS:
                 self.twos += int(np.frombuffer(a, "<u8")[0])
             elif sweep == 0:
-                first[of].append((bucket, *(np.frombuffer(x, t) for x, t in ((a, _U), (b, "<u8"), (c, "<u4"), (d, "<u4")))))
+                first[of].append((bucket, np.frombuffer(a, _U), *(unpacked(x, t) for x, t in ((b, "<u8"), (c, "<u4"), (d, "<u4")))))
             else:
-                later[of, sweep, bucket] = np.frombuffer(a, "<u4")
+                later[of, sweep, bucket] = unpacked(a, "<u4")
         self.senders, self.customers, self.ones, self.tables = {}, {}, {}, {}
         for of, parts in first.items():
             parts.sort(key=lambda x: x[0])
@@ -427,7 +476,7 @@ class Node:
                 yield self._answer(SWEEPS + 1, of, bucket, [v[own] for v in values[of]])
 
     def _answer(self, sweep: int, of: int, bucket: int, values: list[np.ndarray]):
-        parts = [v.astype("<f8").tobytes() for v in values]
+        parts = [packed(v) for v in values]
         return bucket, (_TOTALS, (sweep, of, self.number), *parts, *[b""] * (4 - len(parts)))
 
 
@@ -535,7 +584,7 @@ def score_texts(docs: DataFrame, held_out: Column, bucket_bytes: int = BUCKET_BY
 
     A task holds one bucket, the tokens of rarer cells of about ``bucket_bytes`` of text.
     """
-    spark = docs.sparkSession
+    spark = bound_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
     rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
